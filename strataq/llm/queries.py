@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, token_counts
+from . import bpe, packing, quality, token_counts
 from .common import table
 
 #: The vocabulary file that the token queries use.
@@ -16,6 +16,10 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -24,5 +28,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe_round_trip, op9_token_counts, op10_packing)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op4_bpe_round_trip, op6_quality_rules, op9_token_counts, op10_packing)}
+SQL: dict[str, str] = {"op6_quality_rules": quality.SQL}
