@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, classifier, licenses, lm_score, packing, quality, simhash, token_counts
+from . import ann, bpe, classifier, licenses, lm_score, packing, quality, simhash, token_counts
 from .common import table
 
 #: The vocabulary file that the token queries use.
@@ -16,6 +17,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -44,5 +49,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_bpe_round_trip, op5_lm_scores, op6_quality_rules, op7_license_scan, op8_quality_classifier, op9_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_nearest_vectors, op4_bpe_round_trip, op5_lm_scores, op6_quality_rules, op7_license_scan, op8_quality_classifier, op9_token_counts, op10_packing)}
 SQL: dict[str, str] = {"op6_quality_rules": quality.SQL}
