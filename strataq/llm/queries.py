@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, classifier, licenses, lm_score, packing, quality, simhash, token_counts
+from . import ann, bpe, classifier, licenses, line_dedup, lm_score, packing, quality, simhash, token_counts
 from .common import table
 
 #: The vocabulary file that the token queries use.
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_nearest_vectors, op4_bpe_round_trip, op5_lm_scores, op6_quality_rules, op7_license_scan, op8_quality_classifier, op9_token_counts, op10_packing)}
-SQL: dict[str, str] = {"op6_quality_rules": quality.SQL}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_nearest_vectors, op4_bpe_round_trip, op5_lm_scores, op6_quality_rules, op7_license_scan, op8_quality_classifier, op9_token_counts, op10_packing)}
+SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op6_quality_rules": quality.SQL}
