@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, without
 
 #: At most so many labelled rows fit the document model, those of the least hashes of their ids.
 MAX_LABELLED = 20_000
@@ -145,10 +145,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of docs that are kept, with their own columns; texts cross the shuffle only where documents are rejected by id.
-
-    Rows that share an id are judged together: they stay if one of them is kept.
+    """The rows of docs that are kept, with their own columns. Rows that share an id stay together if one of them is kept.
     """
     judged = classify(docs, labels, id_col, text_col, host_col)
-    bad = cut(judged.groupBy(id_col).agg(F.bool_or("kept").alias("any")).where("NOT any").select(F.col(id_col).alias("bad")), "rejected")
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["bad"]), "left_anti")
+    return without(docs, judged.groupBy(id_col).agg(F.bool_or("kept").alias("any")).where("NOT any").select(id_col), id_col)

@@ -39,11 +39,18 @@ def drop_cut(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Sets of so many ids are broadcast at most (8 MB of longs); larger ones are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, bad: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id isn't in bad (one column, distinct, null included)."""
+    bad = cut(bad.toDF("__bad"), "rejected")
+    some = F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad
+    return docs.join(some, docs[id_col].eqNullSafe(some["__bad"]), "left_anti")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for a row, however often a lambda inside body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
-
-def ascii_words(text: Column) -> Column:
-    r"""The words [^\x20\x09-\x0D]+ of a text, in order; null text: none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

@@ -176,22 +176,25 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     names = docs.columns
     joined = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), doc.alias("__doc"), F.col(text_col).alias("__text")).join(stays, "__doc", "left")
 
-    def kept(lines: Column) -> Column:
-        whole = F.transform(lines, lambda x: F.btrim(x, F.lit(BLANKS)))
+    stay = F.coalesce(F.col("__stays"), F.array().cast("array<long>"))
 
-        def of_whole(w: Column) -> Column:
-            hashes = F.transform(w, lambda x: F.when(F.char_length(x) >= LEAST_CHARS, F.xxhash64(x)))
-            return let(F.struct(lines.alias("lines"), hashes.alias("hashes"), F.map_from_entries(numbered(hashes)).alias("at")), pick)
+    def entry(x: Column, i: Column) -> Column:
+        whole = F.btrim(x, F.lit(BLANKS))
+        return F.struct(F.when(F.char_length(whole) >= LEAST_CHARS, F.xxhash64(whole)).alias("h"), F.lit(1).alias("line"), i.alias("pos"))
 
-        return let(whole, of_whole)
+    def kept(lines: Column) -> Column:
+        return let(F.transform(lines, entry), lambda e: let(in_order(e), lambda s: let(F.struct(lines.alias("lines"), e.alias("e"), s.alias("s")), pick)))
 
-    def numbered(hashes: Column) -> Column:
-        return F.transform(F.array_distinct(F.filter(hashes, lambda h: h.isNotNull())), lambda h: F.struct(h, F.array_position(hashes, h)))
+    def in_order(entries: Column) -> Column:
+        """A hash that stays comes right before the lines that have it, these by position."""
+        marks = F.transform(stay, lambda h: F.struct(h.alias("h"), F.lit(0).alias("line"), F.lit(-1).alias("pos")))
+        return F.sort_array(F.concat(F.filter(entries, lambda x: x["h"].isNotNull()), marks))
 
     def pick(t: Column) -> Column:
-        stay = F.array_intersect(F.map_keys(t["at"]), F.coalesce(F.col("__stays"), F.array().cast("array<long>")))
-        places = F.transform(stay, lambda h: F.element_at(t["at"], h))
-        return let(F.map_from_arrays(places, places), lambda ok: F.filter(t["lines"], lambda x, i: F.get(t["hashes"], i).isNull() | F.map_contains_key(ok, (i + 1).cast("long"))))
+        before = lambda i: F.get(t["s"], i - 1)
+        long = F.filter(t["s"], lambda x, i: (x["line"] == 1) & (before(i)["line"] == 0) & (before(i)["h"] == x["h"]))
+        places = F.concat(long, F.filter(t["e"], lambda x: x["h"].isNull()))
+        return F.transform(F.sort_array(F.transform(places, lambda x: x["pos"])), lambda i: F.get(t["lines"], i))
 
     text = F.when(F.col("__text").isNotNull(), F.array_join(let(F.split("__text", "\n"), kept), "\n"))
     row = lambda c: F.col("__row").getField(c)

@@ -87,27 +87,32 @@ def host_verdicts(figures: DataFrame, host: str = "host", failed: str = "base_fa
     return by_host.withColumn("host_rate", shrunk).withColumn("host_rejected", F.col("host_rate") > HOST_LIMIT)
 
 
+def rejected_hosts(rows: DataFrame) -> DataFrame:
+    """host, bad of the hosts that go; broadcast while they are few."""
+    bad = cut(host_verdicts(rows).where("host_rejected").select("host", F.lit(True).alias("bad")), "hosts")
+    return F.broadcast(bad) if bad.count() <= BROADCAST_HOSTS else bad
+
+
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """id, the figures, base_failed and kept, one row per input row; repeated and tied ids stay as they are.
 
-    kept: the row passes the rules and its host isn't rejected. Rows of a null host are judged by the rules alone.
+    kept: the row passes the rules and its host isn't rejected. Rows of a null host are judged by the rules alone. Null and
+    empty texts fail for want of words. An empty table gives no rows.
     """
     rows = cut(base_figures(df, F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), text_col=text_col), "quality")
-    return with_verdicts(rows).withColumnRenamed("id", id_col)
-
-
-def with_verdicts(rows: DataFrame) -> DataFrame:
-    bad = host_verdicts(rows).where("host_rejected").select("host", F.lit(True).alias("bad"))
-    bad = F.broadcast(bad) if bad.count() <= BROADCAST_HOSTS else bad
-    return rows.join(bad, "host", "left").withColumn("kept", ~F.col("base_failed") & F.col("bad").isNull()).drop("host", "bad")
-
-
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of docs that are kept, with their own columns only."""
-    names = docs.columns
-    tagged = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
-    rows = cut(base_figures(tagged, F.col("row"), F.col("host")), "quality")
-    return with_verdicts(rows).where("kept").select("row.*")
+    judged = rows.join(rejected_hosts(rows), "host", "left").withColumn("kept", ~F.col("base_failed") & F.col("bad").isNull())
+    return judged.drop("host", "bad").withColumnRenamed("id", id_col)
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of docs that judge() keeps, with their own columns only. Figures are worked out twice, once for the hosts and
+    once to filter, so that no text is stored or shuffled."""
+    host = F.col(host_col).cast("string")
+    bad = rejected_hosts(base_figures(docs, host.alias("host"), text_col=text_col)).select(F.col("host").alias("__host"))
+    passed = docs.join(bad, host == bad["__host"], "left_anti")
+    f = figures(F.col(text_col))
+    enough = lambda x: (x["w"]["n_words"] >= LEAST_WORDS) & (100 * x["w"]["n_repeat_words"] <= MOST_REPEATED * x["w"]["n_words"])
+    return passed.where(let(f, enough))
 
 
 #: DuckDB; HOST_LIMIT and the prior as above. No rate is returned, so that sums of doubles can't differ in their last digits.

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, without
 from .components import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
@@ -171,8 +171,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     is no other. Of several rows of that id one stays."""
     rows = cut(fingerprints(docs, id_col, text_col), "fingerprints")
     out = classes(rows)
-    stays = out.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
-    kept = docs.join(stays, docs[id_col].eqNullSafe(stays["id"]), "left_semi")
+    away = out.groupBy("id").agg(F.bool_or(F.col("id").eqNullSafe(F.col("component_id"))).alias("stays")).where("NOT stays").select("id")
+    kept = without(docs, away, id_col)
     again = cut(rows.groupBy("id").count().where("count > 1").select("id"), "repeated")
     if again.isEmpty():
         return kept
