@@ -133,6 +133,7 @@ def pattern(code: int, faces: int, tunnel: bool) -> tuple[tuple[int, int, int],
             else:
                 to = starts[0]
             after.setdefault(edge[k], []).append(edge[to])
+    unclear = any(len([k for k in range(4) if (code >> ring[k] & 1) != (code >> ring[(k + 1) % 4] & 1)]) == 4 for ring in FACES)
     loops, left = [], {e: list(n) for e, n in after.items()}
     while left:
         start = min(left)
@@ -142,7 +143,8 @@ def pattern(code: int, faces: int, tunnel: bool) -> tuple[tuple[int, int, int],
             e = left[e].pop()
         left = {k: n for k, n in left.items() if n}
         loops.append(loop)
-    if len(loops) == 2 and tunnel:
+    # two corners that face each other across one face meet there or nowhere
+    if len(loops) == 2 and tunnel and not (unclear and len(loops[0]) + len(loops[1]) == 6):
         return tuple(band(*loops))
     out = []
     for loop in loops:
@@ -157,21 +159,26 @@ MIDDLES = np.array([(CORNERS[a] + CORNERS[b]) / 2 for a, b, _ in EDGES])
 
 
 def band(p: list[int], q: list[int]) -> list[tuple[int, int, int]]:
-    """A band between two loops: the second is run backwards, and the shorter diagonal is taken at each step."""
+    """A band between two loops: the second is run backwards, from the vertices where both are nearest in all, and steps
+    alternate in proportion to the loops' lengths, so no edge across comes twice."""
     far = lambda a, b: float(((MIDDLES[a] - MIDDLES[b]) ** 2).sum())
-    q = q[::-1]
-    i, j = min(((i, j) for i in range(len(p)) for j in range(len(q))), key=lambda x: far(p[x[0]], q[x[1]]))
-    p, q = [*p[i:], *p[:i], p[i]], [*q[j:], *q[:j], q[j]]
-    i = j = 0
-    out = []
-    while i < len(p) - 1 or j < len(q) - 1:
-        if j == len(q) - 1 or (i < len(p) - 1 and far(p[i + 1], q[j]) <= far(p[i], q[j + 1])):
-            out.append((p[i], p[i + 1], q[j]))
-            i += 1
-        else:
-            out.append((p[i], q[j + 1], q[j]))
-            j += 1
-    return out
+    n, m, q = len(p), len(q), q[::-1]
+
+    def across(i: int, j: int) -> list[tuple[int, int, int]]:
+        out, a, b = [], 0, 0
+        at = lambda a, b: (p[(i + a) % n], q[(j + b) % m])
+        while a < n or b < m:
+            (x, y), first = at(a, b), (a + 1) * m <= (b + 1) * n
+            if first:
+                a += 1
+                out.append((x, at(a, b)[0], y))
+            else:
+                b += 1
+                out.append((x, at(a, b)[1], y))
+        return out
+
+    ways = [across(i, j) for i in range(n) for j in range(m)]
+    return min(ways, key=lambda w: sum(far(x, z) for x, _, z in w))
 
 
 def triangles(anchors: np.ndarray, v: np.ndarray, iso: float, origin, size) -> dict[str, np.ndarray]:

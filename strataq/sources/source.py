@@ -67,7 +67,9 @@ class AmrReader(DataSourceReader):
             out += [Shard(record.level, os.path.join(folder, f), ps, domain.lo, cells.ghost, len(header.variables), list(chosen)) for f, ps in sorted(files.items())]
         return out
 
-    def read(self, partition: Shard):
+    def read(self, partition: Shard | None):
+        if partition is None:  # all was pruned
+            return
         data = np.memmap(partition.file, np.uint8, "r")
         for patch_id, box, offset in partition.patches:
             for component in partition.components:
