@@ -75,9 +75,10 @@ class Packer:
             cost += [np.full(len(inner), AT_SENTENCE), np.array([AT_DOCUMENT])]
             base += n - begun
         at, cost = np.concatenate(at), np.concatenate(cost)
-        wide = np.flatnonzero(np.diff(at) > GAP)
+        gap = max(1, min(GAP, self.size // 4))
+        wide = np.flatnonzero(np.diff(at) > gap)
         if len(wide):
-            more = np.concatenate([np.arange(at[i] + GAP, at[i + 1], GAP) for i in wide])
+            more = np.concatenate([np.arange(at[i] + gap, at[i + 1], gap) for i in wide])
             order = np.argsort(both := np.concatenate([at, more]), kind="stable")
             at, cost = both[order], np.concatenate([cost, np.full(len(more), ELSEWHERE)])[order]
         ends = at[choose_cuts(at, cost, self.size)].tolist()

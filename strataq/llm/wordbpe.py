@@ -268,8 +268,8 @@ class WordBpe:
         last[ends[head]], count[ends[head]] = token[head], 1
         rest = np.flatnonzero(~head)
         rest = rest[np.argsort(depth[ends[rest]], kind="stable")]
-        steps = np.flatnonzero(np.diff(depth[ends[rest]], prepend=-1))
-        for lo, hi in zip(steps, [*steps[1:], len(rest)], strict=True):
+        steps = np.flatnonzero(np.diff(depth[ends[rest]], prepend=-1)).tolist()
+        for lo, hi in zip(steps, [*steps[1:], len(rest)] if steps else [], strict=True):
             at = rest[lo:hi]
             before = last[starts[at] - 1]
             pair, where = np.unique(before << 20 | token[at], return_inverse=True)
