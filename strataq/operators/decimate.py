@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataq.functions.lineage import checkpointed
 from strataq.operators import mesh as M
 
 
@@ -157,11 +158,11 @@ def decimate(vertices: DataFrame, faces: DataFrame, options: Options = Options()
         placed = M.corners(faces, vertices, *extra)
         cell = [F.least(F.lit(side - 1), F.floor((F.col(f"a_{p}") + F.col(f"b_{p}") + F.col(f"c_{p}") - 3 * box[f"min_{p}"]) / (3 * max(box[f"max_{p}"] - box[f"min_{p}"], 1e-30)) * side)).alias(f"g_{p}") for p in M.P]
         parts = placed.select("*", *cell).groupBy(*(f"g_{p}" for p in M.P)).applyInPandas(run(lambda k: max(1, k * first / n), limit * options.group_error, True), schema)
-        parts = parts.checkpoint()
+        parts = checkpointed(parts)
         spent = parts.agg(F.max("error")).first()[0] or 0.0
-        faces = M.dense_numbers(parts.select("a", "b", "c", F.abs(F.xxhash64("a", "b", "c")).alias("h")), "h", "fid").select("fid", "a", "b", "c")
+        faces = parts.select(F.monotonically_increasing_id().alias("fid"), "a", "b", "c")
         report["groups"] = side**3
-    out = M.corners(faces, vertices, *extra).groupBy(F.lit(0).alias("all")).applyInPandas(run(lambda k: target, limit - spent, options.lock_boundaries), schema).checkpoint()
+    out = checkpointed(M.corners(faces, vertices, *extra).groupBy(F.lit(0).alias("all")).applyInPandas(run(lambda k: target, limit - spent, options.lock_boundaries), schema))
     report["final"] = out.count()
     report["error"] = max(spent, out.agg(F.max("error")).first()[0] or 0.0)
     report["reached"] = report["final"] <= target

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataq.functions.lineage import checkpointed
+
 P = ["px", "py", "pz"]
 
 
@@ -99,7 +101,7 @@ def relax(vertices: DataFrame, faces: DataFrame, iterations: int = 3, shrink: fl
     for _ in range(iterations):
         for factor in (shrink, swell):
             vertices = relax_pass(vertices, adjacent, fixed, means, factor, step)
-        vertices = vertices.checkpoint()
+        vertices = checkpointed(vertices)
     return vertices
 
 
