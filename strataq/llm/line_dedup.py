@@ -21,6 +21,8 @@ BLANKS = " \t\r\x0b\x0c"
 #: So many documents with candidate lines are broadcast by id at most; beyond, they are joined by a shuffle.
 BROADCAST_DOCS = 1_000_000
 LAST = (1 << 63) - 1
+#: A key that more lines are stored under is looked up with the lines' bigrams in hand.
+CROWD = 8
 #: Pieces of a line for the filter before verification: each edit spoils one of them at most.
 PIECES = 12
 
@@ -128,31 +130,65 @@ def distinct_lines(docs: DataFrame) -> tuple[DataFrame, list[int]]:
     return cut(keyed.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys)))), "lines"), own
 
 
-def candidates(lines: DataFrame, own: list[int]) -> DataFrame:
-    """a, b (h1 of two lines, a < b) that share a segment."""
+def bigram_parity(line: Column) -> Column:
+    """64 bits, each the parity of the count of some pairs of neighbouring characters. An edit touches four pairs at most."""
+    chars = F.split(line, "")
+    bit = lambda c, i: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c, F.get(chars, i + 1)), F.lit(64)).cast("int"))
+    return F.aggregate(F.transform(chars, bit), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+
+
+def may_share(a: Column, b: Column, most: int = MAX_EDITS) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= 4 * most
+
+
+def few(df: DataFrame, most: int) -> DataFrame:
+    """df, broadcast if it has `most` rows or fewer."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def candidates(docs: DataFrame, lines: DataFrame, own: list[int]) -> tuple[DataFrame, DataFrame]:
+    """a, b (h1 of two lines, a < b) that share a segment; and the lines that need their text: h1, h2, doc, pos, line, parity.
+
+    Under a key with more than CROWD lines only pairs whose bigrams allow it are made, so a crowd of long lines with one
+    segment in common makes no square of pairs; none is lost."""
     count = len([c for c in lines.columns if c.startswith("k")])
     stored = lines.select(F.col("h1").alias("x"), F.explode(F.array(*(f"k{i}" for i in own))).alias("key"))
     asked = lines.select(F.col("h1").alias("y"), F.explode(F.array(*(f"k{i}" for i in range(count)))).alias("key"))
-    pairs = stored.join(asked, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return cut(pairs.distinct(), "candidates")
-
-
-def near_copies(docs: DataFrame, lines: DataFrame, own: list[int]) -> DataFrame:
-    """h1, h2 of the lines that have a line within MAX_EDITS edits at an earlier place: in a document of a smaller id, or
-    before them in their own."""
-    pairs = candidates(lines, own)
-    some = pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct()
+    crowded = few(cut(stored.groupBy("key").count().where(F.col("count") > CROWD).select("key"), "crowded"), BROADCAST_DOCS)
+    ordered = F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
+    apart = stored.join(crowded, "key", "left_anti").join(asked, "key").where("x <> y").select(*ordered)
+    apart = cut(apart.distinct(), "candidates")
+    together = cut(asked.join(crowded, "key", "left_semi"), "crowds")
+    some = apart.select(F.col("a").alias("h1")).union(apart.select(F.col("b").alias("h1"))).union(together.select(F.col("y").alias("h1"))).distinct()
+    texts = fetched(docs, lines, some)
+    parity = texts.select("h1", "parity")
+    ask = together.join(parity, together.y == parity.h1).select("y", "key", F.col("parity").alias("q"))
+    keep = stored.join(crowded, "key", "left_semi")
+    keep = keep.join(parity, keep.x == parity.h1).select("x", "key", F.col("parity").alias("p"))
+    close = (F.col("x") != F.col("y")) & may_share(F.col("p"), F.col("q"))
+    near = keep.join(ask.withColumnRenamed("key", "key2"), (F.col("key") == F.col("key2")) & close).select(*ordered)
+    return apart.union(near).distinct(), texts
+
+
+def fetched(docs: DataFrame, lines: DataFrame, some: DataFrame) -> DataFrame:
+    """h1, h2, doc, pos, line, parity of the lines in some (h1), each from the document where it stands first."""
     some = cut(lines.join(some, "h1", "left_semi").select("h1", "h2", F.col("doc").alias("at")), "candidate-lines")
     where = some.select(F.col("at").alias("doc")).distinct()
-    bounded = some.count() <= BROADCAST_DOCS
-    if bounded:
+    if some.count() <= BROADCAST_DOCS:
         some, where = F.broadcast(some), F.broadcast(where)
     placed = docs.join(where, "doc", "left_semi").select("doc", F.posexplode(long_lines(F.col("text"))).alias("pos", "line"))
     placed = placed.select("doc", "pos", "line", *identity(F.col("line"))).join(some, ["h1", "h2"]).where("doc = at")
-    texts = cut(placed.groupBy("h1", "h2", "doc").agg(F.min("pos").alias("pos"), F.min("line").alias("line")), "candidate-texts")
-    side = lambda n: texts.select(F.col("h1").alias(n), F.struct("h1", "h2").alias(f"{n}_h"), F.struct("doc", "pos").alias(f"{n}_at"), F.col("line").alias(f"{n}_line"))
+    once = placed.groupBy("h1", "h2", "doc").agg(F.min("pos").alias("pos"), F.min("line").alias("line"))
+    return cut(once.withColumn("parity", bigram_parity(F.col("line"))), "candidate-texts")
+
+
+def near_copies(docs: DataFrame, lines: DataFrame, own: list[int]) -> DataFrame:
+    """h1, h2 of the lines that have a line within MAX_EDITS edits at an earlier place: in a document of a smaller id, or
+    before them in their own."""
+    pairs, texts = candidates(docs, lines, own)
+    side = lambda n: texts.select(F.col("h1").alias(n), F.struct("h1", "h2").alias(f"{n}_h"), F.struct("doc", "pos").alias(f"{n}_at"), F.col("line").alias(f"{n}_line"), F.col("parity").alias(f"{n}_p"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
-    likely = met.where(may_be_near(F.col("a_line"), F.col("b_line")))
+    likely = met.where(may_share(F.col("a_p"), F.col("b_p")) & may_be_near(F.col("a_line"), F.col("b_line")))
     close = likely.where(edit_distance(F.col("a_line"), F.col("b_line")) <= MAX_EDITS)
     return close.select(F.when(F.col("a_at") < F.col("b_at"), F.col("b_h")).otherwise(F.col("a_h")).alias("later")).select("later.*").distinct()
 

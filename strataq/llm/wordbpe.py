@@ -74,7 +74,6 @@ class WordBpe:
         order = np.argsort(left << 20 | right)
         self.keys, self.merged = (left << 20 | right)[order], made[order]
         self.rank = dict(zip(self.keys.tolist(), self.merged.tolist(), strict=True))
-        self.verdicts: dict[int, bool] = {}
         self.lengths = np.array([len(s) for s in self.strings], np.int64)
         # only tokens that exact merging makes of their own symbols may be proposed
         some = [i for i, s in enumerate(self.strings) if s]
@@ -85,7 +84,6 @@ class WordBpe:
             if n == 1 and ids[at] == i:
                 self.greedy.add_word(self.strings[i], i)
         self.greedy.make_automaton()
-        self.every = self.greedy  # its iter() gives every token at every place
 
     # -- text to words -------------------------------------------------------------------------------------------
 
@@ -216,14 +214,6 @@ class WordBpe:
             a[live], b[live] = np.where(undo_x, self.right[x], x), np.where(undo_x, y, self.left[y])
         return good
 
-    def pair_ok(self, a: int, b: int) -> bool:
-        """compatible() of one pair, remembered."""
-        if (v := self.verdicts.get(k := a << 20 | b)) is None:
-            if len(self.verdicts) > 1_000_000:
-                self.verdicts.clear()
-            v = self.verdicts[k] = bool(self.compatible(np.array([a]), np.array([b]))[0])
-        return v
-
     def encode_words(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Tokens of all words, their count for each word, and how many words had to be merged exactly."""
         if not len(sizes):
@@ -258,7 +248,7 @@ class WordBpe:
         count = np.zeros(n, np.int64)
         if not n:
             return count
-        found = self.every.iter(symbols.tobytes().decode("utf-16-le"))
+        found = self.greedy.iter(symbols.tobytes().decode("utf-16-le"))
         ends, token = np.fromiter(chain.from_iterable(found), np.int64).reshape(-1, 2).T
         starts = ends - self.lengths[token] + 1
         first = np.repeat(np.cumsum(sizes) - sizes, sizes)
