@@ -22,7 +22,7 @@ BLANKS = " \t\r\x0b\x0c"
 BROADCAST_DOCS = 1_000_000
 LAST = (1 << 63) - 1
 #: A key that more lines are stored under is looked up with the lines' bigrams in hand.
-CROWD = 8
+CROWD = 32
 #: Pieces of a line for the filter before verification: each edit spoils one of them at most.
 PIECES = 12
 
@@ -147,7 +147,7 @@ def few(df: DataFrame, most: int) -> DataFrame:
 
 
 def candidates(docs: DataFrame, lines: DataFrame, own: list[int]) -> tuple[DataFrame, DataFrame]:
-    """a, b (h1 of two lines, a < b) that share a segment; and the lines that need their text: h1, h2, doc, pos, line, parity.
+    """a, b (h1 of two lines, a < b) that share a segment; and the lines that need their text: h1, h2, doc, pos, line.
 
     Under a key with more than CROWD lines only pairs whose bigrams allow it are made, so a crowd of long lines with one
     segment in common makes no square of pairs; none is lost."""
@@ -161,7 +161,8 @@ def candidates(docs: DataFrame, lines: DataFrame, own: list[int]) -> tuple[DataF
     together = cut(asked.join(crowded, "key", "left_semi"), "crowds")
     some = apart.select(F.col("a").alias("h1")).union(apart.select(F.col("b").alias("h1"))).union(together.select(F.col("y").alias("h1"))).distinct()
     texts = fetched(docs, lines, some)
-    parity = texts.select("h1", "parity")
+    crowd = texts.join(together.select(F.col("y").alias("h1")).distinct(), "h1", "left_semi")
+    parity = cut(crowd.select("h1", bigram_parity(F.col("line")).alias("parity")), "parities")
     ask = together.join(parity, together.y == parity.h1).select("y", "key", F.col("parity").alias("q"))
     keep = stored.join(crowded, "key", "left_semi")
     keep = keep.join(parity, keep.x == parity.h1).select("x", "key", F.col("parity").alias("p"))
@@ -171,24 +172,23 @@ def candidates(docs: DataFrame, lines: DataFrame, own: list[int]) -> tuple[DataF
 
 
 def fetched(docs: DataFrame, lines: DataFrame, some: DataFrame) -> DataFrame:
-    """h1, h2, doc, pos, line, parity of the lines in some (h1), each from the document where it stands first."""
+    """h1, h2, doc, pos, line of the lines in some (h1), each from the document where it stands first."""
     some = cut(lines.join(some, "h1", "left_semi").select("h1", "h2", F.col("doc").alias("at")), "candidate-lines")
     where = some.select(F.col("at").alias("doc")).distinct()
     if some.count() <= BROADCAST_DOCS:
         some, where = F.broadcast(some), F.broadcast(where)
     placed = docs.join(where, "doc", "left_semi").select("doc", F.posexplode(long_lines(F.col("text"))).alias("pos", "line"))
     placed = placed.select("doc", "pos", "line", *identity(F.col("line"))).join(some, ["h1", "h2"]).where("doc = at")
-    once = placed.groupBy("h1", "h2", "doc").agg(F.min("pos").alias("pos"), F.min("line").alias("line"))
-    return cut(once.withColumn("parity", bigram_parity(F.col("line"))), "candidate-texts")
+    return cut(placed.groupBy("h1", "h2", "doc").agg(F.min("pos").alias("pos"), F.min("line").alias("line")), "candidate-texts")
 
 
 def near_copies(docs: DataFrame, lines: DataFrame, own: list[int]) -> DataFrame:
     """h1, h2 of the lines that have a line within MAX_EDITS edits at an earlier place: in a document of a smaller id, or
     before them in their own."""
     pairs, texts = candidates(docs, lines, own)
-    side = lambda n: texts.select(F.col("h1").alias(n), F.struct("h1", "h2").alias(f"{n}_h"), F.struct("doc", "pos").alias(f"{n}_at"), F.col("line").alias(f"{n}_line"), F.col("parity").alias(f"{n}_p"))
+    side = lambda n: texts.select(F.col("h1").alias(n), F.struct("h1", "h2").alias(f"{n}_h"), F.struct("doc", "pos").alias(f"{n}_at"), F.col("line").alias(f"{n}_line"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
-    likely = met.where(may_share(F.col("a_p"), F.col("b_p")) & may_be_near(F.col("a_line"), F.col("b_line")))
+    likely = met.where(may_be_near(F.col("a_line"), F.col("b_line")))
     close = likely.where(edit_distance(F.col("a_line"), F.col("b_line")) <= MAX_EDITS)
     return close.select(F.when(F.col("a_at") < F.col("b_at"), F.col("b_h")).otherwise(F.col("a_h")).alias("later")).select("later.*").distinct()
 
