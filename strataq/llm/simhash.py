@@ -12,18 +12,19 @@ codewords of all three. One side of the join looks up own codewords, the other k
 
 from __future__ import annotations
 
-from itertools import combinations, permutations, repeat
+from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, without
+from . import jaccard
+from .common import cut
 from .components import components
+from .jaccard import shingle_hashes
 
-SHINGLE, SEED, MAX_BITS = 3, 42, 3
+SHINGLE, MAX_BITS = 3, 3
 #: Generator of the binary Golay code of length 23, dimension 12, distance 7; a fixed value.
 GENERATOR = 0b110001110101
 #: (shift, bits) of the segments.
@@ -32,21 +33,13 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
 def fingerprint(text: str, size: int = SHINGLE) -> int:
     """The text's SimHash as a signed 64-bit integer; a text without words has 0."""
-    words = text.encode().lower().split()
-    if not words:
+    parts = list(shingle_hashes(text, size))
+    if not parts:
         return 0
-    joined = b" ".join(words)
-    if len(words) < size:
-        return int(np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64).view(np.int64)[0])
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.r_[0, ends[: len(words) - size] + 1].tolist()
-    ends = ends[size - 1 :].tolist()
     set_bits = np.zeros(64, np.int64)
-    for lo in range(0, len(starts), 1 << 15):
-        parts = [joined[s:e] for s, e in zip(starts[lo : lo + (1 << 15)], ends[lo : lo + (1 << 15)], strict=True)]
-        h = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(parts))
+    for h in parts:
         set_bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * set_bits > len(starts), bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * set_bits > sum(map(len, parts)), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,14 +160,12 @@ def classes(rows: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, with the columns of docs: one with the component's least id, or with a null one if there
-    is no other. Of several rows of that id one stays."""
-    rows = cut(fingerprints(docs, id_col, text_col), "fingerprints")
-    out = classes(rows)
-    away = out.groupBy("id").agg(F.bool_or(F.col("id").eqNullSafe(F.col("component_id"))).alias("stays")).where("NOT stays").select("id")
-    kept = without(docs, away, id_col)
-    again = cut(rows.groupBy("id").count().where("count > 1").select("id"), "repeated")
-    if again.isEmpty():
-        return kept
-    same = kept[id_col].eqNullSafe(again["id"])
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col]))
+    """One row of each group of near copies, with the columns of docs: the one of the least id (a null one only if there is no
+    other; of several the first read).
+
+    Near copies share 0.8 or more of their 5-word shingles (jaccard.py); the three words and bits of this module bind the
+    query alone. A row is known by a key of its own here, so rows of one id or of a null id are separate documents."""
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    named = jaccard.groups(rows, "__row", text_col).withColumnRenamed("row", "__row").join(rows.select("__row", F.col(id_col).alias("id")), "__row")
+    stays = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("s")).select("s.__row")
+    return rows.join(cut(stays, "stays"), "__row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

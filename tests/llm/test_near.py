@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataq.llm import ann, line_dedup, simhash
+from strataq.llm import ann, jaccard, line_dedup, simhash
 from strataq.llm.components import components
 
 
@@ -149,6 +149,47 @@ def test_near_duplicates_edges(spark):
     assert simhash.near_duplicates(df.where("false")).count() == 0 and simhash.keep_one(df.where("false")).count() == 0
 
 
+def shingles(t, size=5):
+    w = t.lower().split()
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))}
+
+
+def test_stage_keeps_one_of_near_copies_by_jaccard(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(25):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(20, 200))]
+        for _ in range(4):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 40))):
+                w[rng.randrange(len(w))] = f"x{rng.randint(0, 5000)}"
+            texts.append(" ".join(w))
+    base = [f"y{i}" for i in range(150)]
+    for i in range(60):  # a crowd: the base with a word changed, and changed anew from there
+        w = list(base)
+        w[i * 2], w[149 - i] = f"z{i}", f"z{i}"
+        texts.append(" ".join(w))
+    sets = [shingles(t) for t in texts]
+    pairs = [(a, b) for a, b in combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4]
+    far = [p for p in pairs if (simhash.fingerprint(texts[p[0]]) ^ simhash.fingerprint(texts[p[1]])) & (2**64 - 1) and ((simhash.fingerprint(texts[p[0]]) ^ simhash.fingerprint(texts[p[1]])) & (2**64 - 1)).bit_count() > 3]
+    root = list(range(len(texts)))
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    for crowd in (32, 8):
+        monkeypatch.setattr(jaccard, "CROWD", crowd)
+        assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == sorted(set(root))
+    assert len(far) > 20 and len(set(root)) < len(texts) - 20
+
+
+def test_stage_takes_rows_of_one_id_as_separate_documents(spark):
+    rows = [(None, f"one two three four five six {i}") for i in range(3)] + [(1, "clean text about rivers and lakes"), (1, "other text about roads and bridges")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, kept)) == sorted(str(r) for r in spark.createDataFrame(rows, "doc_id long, text string").collect())
+
+
 def nearest(ids, e, k):
     out = {}
     for i, v in zip(ids, e):
