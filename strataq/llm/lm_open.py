@@ -1,0 +1,90 @@
+"""Cross-entropy difference over all words: lm_score's measure without a bound on the vocabulary.
+
+Both bigram models share one vocabulary, every word of the target or of the corpus. Counts are tables, joined to the
+documents' own bigrams; nothing but sums reaches the driver. A word is known by a 64-bit hash.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut
+from .lm_score import BIGRAM, UNIFORM, UNIGRAM, words_of
+
+SEED = 42
+#: Before the first word; no word holds a line feed.
+START = b"\n"
+#: A task remembers the hashes of so many words at most.
+REMEMBERED = 1_000_000
+
+
+class Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+
+def pairs(rows: DataFrame) -> DataFrame:
+    """row, a, b, n: how often word b comes after a in each text of rows (row, text)."""
+
+    def run(batches):
+        hashes = Hashes()
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text or "")
+                if words:
+                    h = np.fromiter((hashes[w] for w in (START, *words)), np.uint64, len(words) + 1).view(np.int64)
+                    both, n = np.unique(np.stack([h[:-1], h[1:]], 1).view("i8,i8").ravel(), return_counts=True)
+                    yield [np.full(len(n), row), both["f0"], both["f1"], n]
+
+    def merged(batches):
+        held, size = [], 0
+        for x in run(batches):
+            held.append(x)
+            size += len(x[0])
+            if size >= 1 << 16:
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["row", "a", "b", "n"])
+                held, size = [], 0
+        if held:
+            yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["row", "a", "b", "n"])
+
+    return rows.select("row", "text").mapInArrow(merged, "row long, a long, b long, n long")
+
+
+def counted(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame, int]:
+    """Counts `name` of bigrams (a, b); counts of words (w) as such and as the word before; number of tokens."""
+    bigrams = cut(pairs(rows).groupBy("a", "b").agg(F.sum("n").alias(name)), "bigrams")
+    each = bigrams.select(F.col("b").alias("w"), F.col(name).alias("n"), F.lit(0).cast("long").alias("h"))
+    each = each.union(bigrams.select("a", F.lit(0).cast("long"), name))
+    words = cut(each.groupBy("w").agg(F.sum("n").alias(f"{name}_n"), F.sum("h").alias(f"{name}_h")), "words")
+    return bigrams, words, bigrams.agg(F.sum(name)).first()[0] or 0
+
+
+def score(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_tokens, ce_target, ce_background, ce_diff (target minus background; lower is nearer to the target).
+
+    One row per input row; a text without words (null too) has no tokens and null scores. An empty table gives no rows.
+    """
+    rows = cut(df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "texts")
+    far, far_words, n_far = counted(rows, "far")
+    near, near_words, n_near = counted(target.select(F.lit(0).cast("long").alias("row"), F.col(text_col).alias("text")), "near")
+    words = cut(far_words.join(near_words, "w", "full").na.fill(0), "words")
+    size = max(1, words.where("far_n + near_n > 0").count())  # the start is no word
+
+    def loss(name: str, total: int) -> Column:
+        p = F.col(name) / F.greatest(F.col(f"{name}_h"), F.lit(1)) * BIGRAM + F.col(f"{name}_n") / max(1, total) * UNIGRAM
+        return (-F.log(p + UNIFORM / size)).alias(name)
+
+    table = far.join(near, ["a", "b"], "left").na.fill(0)
+    table = table.join(words.select(F.col("w").alias("a"), "far_h", "near_h"), "a").join(words.select(F.col("w").alias("b"), "far_n", "near_n"), "b")
+    table = cut(table.select("a", "b", loss("near", n_near), loss("far", n_far)), "losses")
+    sums = pairs(rows).join(table, ["a", "b"]).groupBy("row").agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * F.col(c)).alias(c) for c in ("near", "far")))
+    n, ce_near, ce_far = F.coalesce("n", F.lit(0).cast("long")), F.col("near") / F.col("n"), F.col("far") / F.col("n")
+    out = rows.select("row", "id").join(sums, "row", "left")
+    return out.select(F.col("id").alias(id_col), n.alias("n_tokens"), ce_near.alias("ce_target"), ce_far.alias("ce_background"), (ce_near - ce_far).alias("ce_diff"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, classifier, licenses, line_dedup, lm_score, packing, quality, simhash, token_counts
+from . import ann, bpe, classifier, licenses, line_dedup, lm_open, packing, quality, simhash, token_counts
 from .common import table
 
 #: The vocabulary file that the token queries use.
@@ -30,7 +30,7 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return lm_open.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataq.llm import classifier, licenses, lm_score, quality
+from strataq.llm import queries as llm_queries
 
 DATA = "/root/testdata/sf0.01"
 
@@ -127,6 +128,40 @@ def test_lm_scores_against_brute_force(spark):
     assert lm_score.score(d.where("false"), t).count() == 0 and lm_score.score(d, t.where("false")).count() == d.count()
 
 
+def test_lm_query_knows_every_word(spark, tmp_path):
+    rng = random.Random(6)
+    target = [" ".join(rng.choice("aa bb cc".split()) for _ in range(20)) for _ in range(5)] + ["once", None]
+    texts = [" ".join(rng.choice("aa bb zz yy é".split()) for _ in range(rng.randint(0, 30))) for _ in range(30)] + [None, "", "aa rare", "aa zz", "AA once", "x " * 5000]
+    spark.createDataFrame([(x,) for x in target], "text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(None if i == 2 else i, x) for i, x in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    split = lambda x: [None, *(w.lower() for w in words(x))]
+    size = len({w for x in target + texts for w in split(x)[1:]})
+
+    def model(all_texts):
+        pairs, n, before = Counter(), Counter(), Counter()
+        for x in all_texts:
+            for a, b in zip(split(x), split(x)[1:]):
+                pairs[a, b] += 1
+                n[b] += 1
+                before[a] += 1
+        total = max(1, sum(n.values()))
+        return lambda a, b: -math.log(lm_score.BIGRAM * pairs[a, b] / max(1, before[a]) + lm_score.UNIGRAM * n[b] / total + lm_score.UNIFORM / size)
+
+    near, far = model(target), model(texts)
+    got = llm_queries.op5_lm_scores(spark, str(tmp_path)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        s = split(texts[2 if r["doc_id"] is None else r["doc_id"]])
+        assert r["n_tokens"] == len(s) - 1
+        if len(s) == 1:
+            assert r["ce_target"] is None and r["ce_diff"] is None
+        else:
+            a, b = (np.mean([m(p, q) for p, q in zip(s, s[1:])]) for m in (near, far))
+            assert abs(r["ce_target"] - a) < 1e-6 and abs(r["ce_background"] - b) < 1e-6 and abs(r["ce_diff"] - (a - b)) < 1e-6
+    by = {r["doc_id"]: r["ce_background"] for r in got}
+    assert by[texts.index("aa rare")] != by[texts.index("aa zz")]
+
+
 def test_alignment():
     a, b = "x the a b c the y q z".split(), "the a c b the z".split()
     got = licenses.align(a, b)
