@@ -145,7 +145,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of docs that are kept, with their own columns. Rows that share an id stay together if one of them is kept.
-    """
-    judged = classify(docs, labels, id_col, text_col, host_col)
-    return without(docs, judged.groupBy(id_col).agg(F.bool_or("kept").alias("any")).where("NOT any").select(id_col), id_col)
+    """The rows of docs that are kept, with their own columns. Each row is judged by itself, whatever id it has."""
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    judged = scored(rows, labels, F.col("__row"), host=F.col(host_col), path=path_of(rows), id_col=id_col, text_col=text_col)
+    return without(rows, judged.where("NOT kept").select("c3"), "__row").drop("__row")

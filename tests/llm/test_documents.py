@@ -95,6 +95,16 @@ def test_classifier_edges(spark):
     assert classifier.classify(docs.where("false"), labels).count() == 0 and classifier.keep_good(docs, labels.where("false")).count() == len(rows)
 
 
+def test_classifier_keeps_rows_not_ids(spark):
+    good, junk = "good words in a line that is long enough. " * 5, "#### $$$ !!! " * 9
+    rows = [(i, good if i % 2 else junk, "en", f"s{i % 3}") for i in range(60)]
+    rows += [(None, good, "en", "s1"), (None, junk, "en", "s1"), (None, junk, "en", "s2"), (70, good, "en", "s0"), (70, junk, "en", "s0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    kept = [(r["doc_id"], r["text"]) for r in classifier.keep_good(docs, labels).collect()]
+    assert sorted(kept, key=str) == sorted([(r[0], r[1]) for r in rows if r[1] == good], key=str)
+
+
 def test_lm_scores_against_brute_force(spark):
     rng = random.Random(4)
     target = [" ".join(rng.choice("aa bb cc dd ee".split()) for _ in range(20)) for _ in range(12)] + ["rare", None, ""]
