@@ -217,12 +217,25 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return out.select(doc_id, "n_lines", (F.col("n_lines") - F.col("n_first")).alias("n_exact"), "n_near")
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def has_word(line: Column) -> Column:
+    return line.rlike(r"[\p{L}\p{N}]")
+
+
+def first_short_lines(docs: DataFrame) -> DataFrame:
+    """doc, h1 for each distinct line with a word in it under LEAST_CHARS characters: the document where it stands first."""
+    lines = docs.select("doc", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).select("doc", F.btrim("line", F.lit(BLANKS)).alias("line"))
+    short = lines.where((F.char_length("line") < LEAST_CHARS) & has_word(F.col("line")))
+    return short.groupBy(F.xxhash64("line").alias("h1")).agg(F.min("doc").alias("doc")).select("doc", "h1")
+
+
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """docs with the lines that go taken out of their texts (and n_chars, if there, counted again); all rows stay.
 
-    Shorter lines stay as they are. A line that stays does so at its first place in each row of its document."""
+    Shorter lines stay as they are; with `short`, those with a word in them go if they equal one at an earlier place. A line that stays does so at its first place in each row of its document."""
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    first = first_lines(docs.select(doc.alias("doc"), F.col(text_col).alias("text"))).where("NOT near")
+    texts = docs.select(doc.alias("doc"), F.col(text_col).alias("text"))
+    first = first_lines(texts).where("NOT near").select("doc", "h1")
+    first = first.union(first_short_lines(texts)) if short else first
     stays = first.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("h1").alias("__stays"))
     names = docs.columns
     joined = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), doc.alias("__doc"), F.col(text_col).alias("__text")).join(stays, "__doc", "left")
@@ -231,7 +244,8 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def entry(x: Column, i: Column) -> Column:
         whole = F.btrim(x, F.lit(BLANKS))
-        return F.struct(F.when(F.char_length(whole) >= LEAST_CHARS, F.xxhash64(whole)).alias("h"), F.lit(1).alias("line"), i.alias("pos"))
+        counts = F.char_length(whole) >= LEAST_CHARS
+        return F.struct(F.when(counts | has_word(whole) if short else counts, F.xxhash64(whole)).alias("h"), F.lit(1).alias("line"), i.alias("pos"))
 
     def kept(lines: Column) -> Column:
         return let(F.transform(lines, entry), lambda e: let(in_order(e), lambda s: let(F.struct(lines.alias("lines"), e.alias("e"), s.alias("s")), pick)))

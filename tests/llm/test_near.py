@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +103,14 @@ def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(df.where("false")).count() == 0 and line_dedup.clean(df.where("false")).count() == 0
 
 
+def test_pipeline_removes_exact_repeats_of_short_lines(spark):
+    long = "y" * 40 + " " + "z" * 40
+    rows = [(1, f"Share this\n{long}\n---\nown words"), (2, f"Share this \n---\n\nother words\n{long}"), (3, "Share this\nother words\nother words"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_deduplication(spark, df, "").collect()}
+    assert got == {1: rows[0][1], 2: "---\n\nother words", 3: "", 4: None}
+
+
 def test_golay_keys_meet_within_one_bit():
     g, rng = simhash.Golay(), np.random.default_rng(1)
     w = rng.integers(0, 1 << 23, 20000)
