@@ -127,14 +127,15 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     """query_id, rank, vec_id, score: the k nearest found of each query row, by inner product; ties to the smaller vec_id.
     is_query is a predicate over the column `id`.
 
-    A query's own row is no candidate; copies of it under other ids are. Rows whose vector is null, empty, zero, shorter
-    than the longest, or holds null or non-finite components take no part, nor do rows of a null id. Repeated rows of an
+    A query's own row is no candidate; copies of it under other ids are. Rows whose vector is null, empty, zero, of
+    another size than most (ties: the longer), or holds null or non-finite components take no part, nor do rows of a null id. Repeated rows of an
     id count once for each vector. With fewer candidates than k, all that are found are returned; an empty table gives no rows.
     """
     vec = F.col("vec")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where(F.col("id").isNotNull() & F.exists("vec", lambda v: v != 0))
     rows = rows.where(F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))))
-    dim = rows.agg(F.max(F.size("vec")).alias("d")).first()["d"] or 1
+    common = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    dim = common["d"] if common else 1
     rows = cut(rows.where(F.size(vec) == dim).withColumn("asks", F.coalesce(is_query, F.lit(False))), "vectors")
     # copies of a vector are searched once; of their ids only the least can be among the k nearest of anything
     few = rows.select("id", "vec").withColumn("rn", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("rn") <= k + 1)

@@ -238,6 +238,13 @@ def test_few_vectors(spark):
     assert ann.search(df.where("vec_id = 0"), F.col("id") % 20 == 0).count() == 0
 
 
+def test_one_vector_of_another_size_leaves_the_rest(spark):
+    rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (21, [1.0, 1.0]), (22, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in ann.search(df, F.col("id") % 20 == 0, probes=4).collect())
+    assert got == [(0, 1, 21, 1.0), (0, 2, 20, 0.0), (20, 1, 21, 1.0), (20, 2, 0, 0.0)]
+
+
 def test_rotations_keep_lengths_and_spread():
     r = ann.Rotations(10)
     x = ann.unit(np.random.default_rng(0).normal(size=(50, 10)))
