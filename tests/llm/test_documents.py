@@ -231,3 +231,11 @@ def test_pipeline_stages_on_a_fixture(spark, tmp_path):
     assert sum(r["length"] for r in docs.collect() if r["start"] == 0 or True) == sum(r["doc_tokens"] for r in docs.collect() if r["start"] == 0)
     whole = {tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", "ids_crc32").groupBy("doc_id").agg(F.sum("length")).collect()}
     assert whole == {tuple(r) for r in docs.groupBy("doc_id").agg(F.sum("length")).collect()}
+
+
+def test_license_bodies_without_a_notice():
+    t = licenses.TEMPLATES
+    noise = "some prose about rivers and lakes " * 30
+    for name in ("ISC", "ISC-warranty", "MIT-warranty", "BSD-warranty", "Unlicense"):
+        assert [n for n, _ in licenses.scan(f"{noise}\n{t[name]}\n{noise}")] == [name]
+    assert [n for n, _ in licenses.scan(f"{t['MIT-grant']}\n{t['MIT-warranty']}")] == ["MIT-grant", "MIT-warranty"]
