@@ -4,8 +4,16 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path that isn't there yet in the folder that driver and executors share (spark.checkpoint.dir; only where that is unset,
+    as in tests, a temporary one)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), f"strataq-{spark.sparkContext.applicationId}")
+    return f"{found.rstrip('/')}/strataq/{name}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

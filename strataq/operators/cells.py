@@ -63,16 +63,36 @@ def clear_box(cells: DataFrame, lo, hi) -> DataFrame:
     return cells.where(~G.in_box(lo, hi))
 
 
-def write_block(cells: DataFrame, lo, shape, values: list[float], bounds_lo, bounds_hi) -> DataFrame:
-    """cells overwritten by a dense block, x fastest; its length must be the block's volume, clipped or not."""
-    nx, ny, nz = shape
-    if len(values) != nx * ny * nz:
-        raise ValueError(f"{len(values)} values for a block of {nx * ny * nz} cells")
-    spark = cells.sparkSession
-    block = spark.createDataFrame([(lo[0] + i % nx, lo[1] + i // nx % ny, lo[2] + i // (nx * ny), float(v)) for i, v in enumerate(values)], "x int, y int, z int, v double")
+def block_cells(blocks: DataFrame) -> DataFrame:
+    """x, y, z, v of dense blocks (lx, ly, lz, nx, ny, nz, values), x fastest; a block whose values aren't as many as its cells is
+    an error."""
+    fits = F.size("values") == F.col("nx") * F.col("ny") * F.col("nz")
+    checked = F.when(fits, F.col("values")).otherwise(F.raise_error(F.lit("a block's values don't fill it")).cast(blocks.schema["values"].dataType))
+    at = blocks.select("lx", "ly", "lz", "nx", "ny", F.posexplode(checked).alias("i", "v"))
+    x, y, z = G.from_linear(F.col("i"), F.col("nx"), F.col("ny"))
+    return at.select((F.col("lx") + x).cast("int").alias("x"), (F.col("ly") + y).cast("int").alias("y"), (F.col("lz") + z).cast("int").alias("z"), "v")
+
+
+def write_blocks(cells: DataFrame, blocks: DataFrame, bounds_lo, bounds_hi) -> DataFrame:
+    """cells overwritten by dense blocks that share no cell (see block_cells), clipped to the bounds."""
+    block = block_cells(blocks)
     return union_replace(cells, block.withColumn("v", F.col("v").cast(cells.schema["v"].dataType)), bounds_lo, bounds_hi)
 
 
+def write_block(cells: DataFrame, lo, shape, values: list[float], bounds_lo, bounds_hi) -> DataFrame:
+    """write_blocks() with one block given as a list."""
+    if len(values) != shape[0] * shape[1] * shape[2]:
+        raise ValueError(f"{len(values)} values for a block of {shape[0] * shape[1] * shape[2]} cells")
+    block = cells.sparkSession.createDataFrame([(*lo, *shape, [float(v) for v in values])], "lx int, ly int, lz int, nx int, ny int, nz int, values array<double>")
+    return write_blocks(cells, block, bounds_lo, bounds_hi)
+
+
+def map_chunks(cells: DataFrame, function, schema: str, value: str = "v") -> DataFrame:
+    """function(pandas frame) for each chunk's cells (level, cx, cy, cz, i, value; 32768 rows at most, sorted by i)."""
+    rows = cells.select("level", *G.chunk_key(), G.local_index().alias("i"), F.col(value))
+    return rows.groupBy("level", "cx", "cy", "cz").applyInPandas(lambda f: function(f.sort_values("i")), schema)
+
+
 def chunk_counts(cells: DataFrame) -> DataFrame:
     return cells.groupBy("level", *G.chunk_key()).agg(F.count("*").alias("n"))
 
@@ -171,15 +191,20 @@ def mask_full_cover(coarse: DataFrame, fine: DataFrame, axis: str, ratio=(2, 2,
     return coarse.join(seen.select(*XYZ), XYZ, "left_anti")
 
 
-def active_cubes(by_level: dict[int, DataFrame], samples: dict[int, DataFrame], iso: float, ratio=(2, 2, 2), shift=(0, 0, 0)) -> DataFrame:
+#: From a coarse level to the next finer one, unless told otherwise: ratio and shift.
+STEP = ((2, 2, 2), (0, 0, 0))
+
+
+def active_cubes(by_level: dict[int, DataFrame], samples: dict[int, DataFrame], iso: float, steps: dict[int, tuple] | None = None) -> DataFrame:
     """Cubes with corners of all levels that may hold a surface: complete, their anchor not under the next finer selected
-    level, and in a chunk whose range has the isovalue (ranges are those before masking)."""
+    level, and in a chunk whose range has the isovalue (ranges are those before masking). steps: by coarse level, (ratio,
+    shift) with fine = coarse * ratio + shift."""
     out, levels = None, sorted(by_level)
     for i, level in enumerate(levels):
         own = by_level[level]
         left = own
         if i + 1 < len(levels) and levels[i + 1] == level + 1:
-            left = mask_any_cover(own, samples[level + 1], ratio, shift, ("ax", "ay", "az"))
+            left = mask_any_cover(own, samples[level + 1], *(steps or {}).get(level, STEP), ("ax", "ay", "az"))
         chunks = crossing(chunk_ranges(samples[level], own), iso)
         keyed = left.withColumns(dict(zip(("cx", "cy", "cz"), G.chunk_key("ax", "ay", "az"), strict=True)))
         left = keyed.join(chunks, ["level", "cx", "cy", "cz"], "left_semi").drop("cx", "cy", "cz")

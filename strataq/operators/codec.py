@@ -168,8 +168,9 @@ def decode_chunk(codec: int, version: int, mask: bytes, metadata: bytes, payload
 CHUNK_SCHEMA = "level int, component int, cx int, cy int, cz int, mask binary, codec_id int, codec_version int, metadata binary, payload binary, verified_error double, allowed_error double, vmin double, vmax double"
 
 
-def encode(cells: DataFrame, policies: dict[int, Policy], value: str = "v") -> DataFrame:
-    """One row per chunk of cells (level, component, x, y, z, v). A chunk is one group of 32768 rows at most."""
+def encode(cells: DataFrame, policies: dict[int, Policy], value: str = "v", in_domain: bool = False) -> DataFrame:
+    """One row per chunk of cells (level, component, x, y, z, v). A chunk is one group of 32768 rows at most. in_domain: values
+    of unorm32 components are normalised already, as decode() gives them."""
     rows = cells.select("level", "component", *G.chunk_key(), G.local_index().alias("i"), F.col(value).cast("double").alias("v"))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -179,7 +180,7 @@ def encode(cells: DataFrame, policies: dict[int, Policy], value: str = "v") -> D
         if policy.scalar == "f32":
             v = v.astype(np.float32).astype(np.float64)
         elif policy.unorm:
-            low, high = policy.unorm
+            low, high = (0.0, 1.0) if in_domain else policy.unorm
             v = np.floor(np.clip((v - low) / (high - low), 0, 1) * G.UNORM_MAX + 0.5) / G.UNORM_MAX
         codec, mask, meta, payload, error = encode_chunk(pdf["i"].to_numpy(), v, policy)
         most = float(policy.allowed(np.array([max(abs(v.min()), abs(v.max()))]))[0]) if policy.lossy else 0.0

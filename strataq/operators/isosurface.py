@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataq.functions import grid as G
-from strataq.operators.cells import XYZ
+from strataq.functions.lineage import checkpointed
+from strataq.operators.cells import XYZ, active_cubes
+from strataq.operators.cells import cubes as complete
 
 EPSILON = 1e-12
 CORNERS = np.array(G.CORNERS)
@@ -54,8 +56,7 @@ def edge_vertices(cells: DataFrame, iso: float, cubes: DataFrame | None = None,
 
 
 def placed(cut: DataFrame, iso: float, origin, size) -> DataFrame:
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(float(iso)) - F.col("s")) / (F.col("e") - F.col("s"))))
-    cut = cut.withColumn("t", t)
+    cut = cut.withColumn("t", along("s", "e", iso))
     place = [F.lit(float(o)) + ((F.col(n) + F.when(F.col("axis") == i, F.col("t")).otherwise(0.0)) + 0.5) * float(d) for i, (n, o, d) in enumerate(zip(XYZ, origin, size, strict=True))]
     return cut.select("level", *XYZ, "axis", "t", *(p.cast("float").alias(f"p{n}") for p, n in zip(place, XYZ, strict=True)))
 
@@ -250,13 +251,79 @@ def vertices(cubes: DataFrame, iso: float, faces_df: DataFrame, origin=(0.0, 0.0
     return own.unionByName(inner.join(used, "vid", "left_semi"))
 
 
-def isosurface(cells: DataFrame, iso: float, value: str = "v", **geometry) -> tuple[DataFrame, DataFrame]:
-    """Vertices and faces of one component's surface on complete cubes."""
-    from strataq.operators.cells import cubes as complete
-
+def interior_samples(vertices_df: DataFrame, cubes: DataFrame, samples: DataFrame, iso: float, low: float, high: float, value: str = "v", name: str = "u") -> DataFrame:
+    """The interior vertices (level, x, y, z: the cube's anchor) with `name`: the corners' samples by the weights that place the
+    vertex, as a 16-bit code and back."""
+    total, _ = interior_weights(iso)
+    corners = F.array(*(F.struct(*(F.lit(int(c)).alias(f"d{n}") for c, n in zip(CORNERS[k], XYZ, strict=True)), (1.0 / (F.lit(EPSILON) + F.abs(F.col(f"v{k}").cast("double") - F.lit(float(iso))))).alias("w")) for k in range(8)))
+    at = cubes.select("level", *(F.col(f"a{n}").alias(n) for n in XYZ), total.alias("total"), F.explode(corners).alias("c")).join(vertices_df.select("level", *XYZ), ["level", *XYZ], "left_semi")
+    at = at.withColumns({f"e{n}": F.col(n) + F.col(f"c.d{n}") for n in XYZ})
+    end = samples.select("level", *(F.col(n).alias(f"e{n}") for n in XYZ), F.col(value).cast("double").alias("q"))
+    q = F.when(F.col("q").isNull(), F.raise_error(F.lit("a sample is absent at a cube of the surface")).cast("double")).otherwise(F.col("q"))
+    mean = at.join(end, ["level", "ex", "ey", "ez"], "left").groupBy("level", *XYZ).agg((F.sum(F.col("c.w") * q) / F.first("total")).alias("__q"))
+    out = vertices_df.join(mean, ["level", *XYZ]).withColumn(f"{name}_code", G.unorm16(F.col("__q"), low, high))
+    return out.withColumn(name, (F.col(f"{name}_code") / 65535.0).cast("float")).drop("__q")
+
+
+def isosurface(cells: DataFrame, iso: float, value: str = "v", origin=(0.0, 0.0, 0.0), size=(1.0, 1.0, 1.0), flip: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Vertices (vid, level, px, py, pz) and faces (level, a, b, c) of one level's surface on complete cubes."""
+    levels = [r["level"] for r in cells.select("level").distinct().limit(2).collect()]
+    if len(levels) > 1:
+        raise ValueError("cells of one level are wanted; isosurface_of_levels() takes several")
+    v, f = isosurface_of_levels({x: cells for x in levels or [0]}, iso, value, {x: (origin, size) for x in levels}, flip=flip)
+    return v, f
+
+
+def isosurface_of_levels(by_level: dict[int, DataFrame], iso: float, value: str = "v", geometry: dict[int, tuple] | None = None, steps: dict[int, tuple] | None = None,
+                         level_range: tuple[int, int] | None = None, samples: list[tuple[str, float, float]] = (), flip: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Vertices (vid, level, px, py, pz, and a 16-bit code and value for each sample) and faces (level, a, b, c) of the surface
+    over all selected levels; a coarse cube whose anchor lies under the next finer selected level has none.
+
+    by_level: cells (level, x, y, z, value, samples' columns). geometry: by level, (origin, cell size). steps: by coarse level,
+    (ratio, shift) to the next finer one. level_range: first and last level, both included. samples: two at most, as (column,
+    low, high), other than the value's own column twice."""
+    validate(by_level, iso, level_range, samples)
+    chosen = {k: c for k, c in sorted(by_level.items()) if level_range is None or level_range[0] <= k <= level_range[1]}
+    named = {k: c.select("level", *XYZ, F.col(value).alias("v")) for k, c in chosen.items()}
+    active = checkpointed(active_cubes({k: complete(c) for k, c in named.items()}, named, iso, steps))
+    vs, fs = None, None
+    for k, cells in chosen.items():
+        origin, size = (geometry or {}).get(k, ((0.0, 0.0, 0.0), (1.0, 1.0, 1.0)))
+        own = active.where(F.col("level") == k)
+        f = faces(own, iso, origin, size, flip)
+        v = sampled(vertices(own, iso, f, origin, size), own, cells, iso, samples) if samples else vertices(own, iso, f, origin, size)
+        vs, fs = (v, f) if vs is None else (vs.unionByName(v), fs.unionByName(f))
+    return vs, fs
+
+
+def validate(by_level: dict[int, DataFrame], iso: float, level_range, samples) -> None:
     if not np.isfinite(iso):
         raise ValueError("the isovalue must be finite")
-    c = complete(cells, value)
-    flip = geometry.pop("flip", False)
-    f = faces(c, iso, flip=flip, **geometry)
-    return vertices(c, iso, f, **geometry), f
+    if not by_level:
+        raise ValueError("no level is given")
+    if level_range is not None and not (min(by_level) <= level_range[0] <= level_range[1] <= max(by_level)):
+        raise ValueError("the level range isn't one of the levels given")
+    if len(samples) > 2 or len({s[0] for s in samples}) != len(samples):
+        raise ValueError("at most two different samples")
+    if any(not (np.isfinite(low) and np.isfinite(high) and low < high) for _, low, high in samples):
+        raise ValueError("a sample's bounds must be finite and rising")
+
+
+def sampled(vertices_df: DataFrame, cubes: DataFrame, cells: DataFrame, iso: float, samples) -> DataFrame:
+    """vertices with each sample's code and value: along the edge, or over the corners' weights inside a cube."""
+    field = lambda shift, bits: F.shiftright("vid", shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    keyed = vertices_df.withColumns({"x": field(2, 18), "y": field(20, 18), "z": field(38, 18), "axis": field(0, 2)})
+    start = [F.col(f"v{a}").cast("double") for a in range(8)]
+    parts = F.array(*(F.struct(*(F.lit(int(c)).alias(f"d{n}") for c, n in zip(CORNERS[a], XYZ, strict=True)), F.lit(axis).alias("axis"), start[a].alias("s"), start[b].alias("e")) for a, b, axis in EDGES))
+    cut = cubes.select("level", "ax", "ay", "az", F.explode(parts).alias("e")).where((F.col("e.s") > iso) != (F.col("e.e") > iso))
+    cut = cut.select("level", *((F.col(f"a{n}") + F.col(f"e.d{n}")).alias(n) for n in XYZ), F.col("e.axis").alias("axis"), along("e.s", "e.e", iso).alias("t")).distinct()
+    edge, inner = keyed.join(cut, ["level", *XYZ, "axis"]), keyed.where(F.col("axis") == INTERIOR)
+    for column, low, high in samples:
+        edge = edge_samples(edge, cells, low, high, column, f"u_{column}")
+        inner = interior_samples(inner, cubes, cells, iso, low, high, column, f"u_{column}")
+    return edge.drop("t", *XYZ, "axis").unionByName(inner.drop(*XYZ, "axis"))
+
+
+def along(s: str, e: str, iso: float) -> Column:
+    """Where on the way from s to e the surface lies, in [0, 1]."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(float(iso)) - F.col(s)) / (F.col(e) - F.col(s))))

@@ -151,11 +151,17 @@ def concat(meshes: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFr
         w = v.withColumn("vid", F.col("vid") + v0)
         g = f.select((F.col("fid") + f0).alias("fid"), *((F.col(n) + v0).alias(n) for n in "abc"))
         vs, fs = (w, g) if vs is None else (vs.unionByName(w), fs.unionByName(g))
-        v0 += (v.agg(F.max("vid")).first()[0] or -1) + 1 if len(meshes) > 1 else 0
-        f0 += (f.agg(F.max("fid")).first()[0] or -1) + 1 if len(meshes) > 1 else 0
+        if len(meshes) > 1:
+            v0, f0 = v0 + following(v, "vid"), f0 + following(f, "fid")
     return vs, fs
 
 
+def following(df: DataFrame, number: str) -> int:
+    """The first number from 0 on that is beyond all of df's."""
+    most = df.agg(F.max(number)).first()[0]
+    return 0 if most is None else most + 1
+
+
 def flip(faces: DataFrame) -> DataFrame:
     return faces.select(*(F.col({"b": "c", "c": "b"}.get(n, n)).alias(n) for n in faces.columns))
 

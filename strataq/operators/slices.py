@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.operators.cells import XYZ
+from strataq.operators.cells import STEP, XYZ, mask_full_cover
 
 #: For each axis, the four corners of a cell's quad, in the winding of its two triangles.
 QUADS = {
@@ -66,3 +66,34 @@ def slice_mesh(quads: DataFrame, axis: str, plane: float, origin=(0.0, 0.0, 0.0)
     f = quads.select("level", cell.alias("cell"), F.explode(F.array(*(F.struct(F.lit(i).alias("i"), *(F.lit(c).alias(n) for c, n in zip(t, "abc", strict=True))) for i, t in enumerate(order)))).alias("t"))
     faces = f.select((F.col("cell") * 2 + F.col("t.i")).alias("fid"), "level", *((F.col("cell") * 4 + F.col(f"t.{n}")).alias(n) for n in "abc"))
     return vertices, faces
+
+
+def slice_of_levels(by_level: dict[int, DataFrame], axis: str, plane: float, geometry: dict[int, tuple], values: list[tuple[str, float, float]], steps: dict[int, tuple] | None = None,
+                    level_range: tuple[int, int] | None = None, flip: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Vertices and faces (see slice_mesh) of the plane's cells over all selected levels; a coarse cell whose every column of fine
+    cells across the plane has one of the next finer selected level shows none.
+
+    by_level: cells (level, x, y, z, values' columns). geometry: by level, (origin, cell size, extent), three numbers each. values:
+    one or two, as (column, low, high); the first one's column says which cells are there."""
+    if not 1 <= len(values) <= 2 or len({v[0] for v in values}) != len(values):
+        raise ValueError("one or two different values are wanted")
+    if any(not (math.isfinite(low) and math.isfinite(high) and low < high) for _, low, high in values):
+        raise ValueError("a value's bounds must be finite and rising")
+    if axis not in XYZ:
+        raise ValueError("the axis is x, y or z")
+    if level_range is not None and not (min(by_level) <= level_range[0] <= level_range[1] <= max(by_level)):
+        raise ValueError("the level range isn't one of the levels given")
+    chosen = [k for k in sorted(by_level) if level_range is None or level_range[0] <= k <= level_range[1]]
+    a = XYZ.index(axis)
+    layers = {k: plane_cell(plane, geometry[k][0][a], geometry[k][1][a], geometry[k][2][a]) for k in chosen}
+    vs, fs = None, None
+    for k in chosen:
+        origin, size, _ = geometry[k]
+        active = slice_cells(by_level[k], axis, layers[k], values[0][0])
+        if k + 1 in chosen and layers[k + 1] is not None:
+            ratio, shift = (steps or {}).get(k, STEP)
+            active = mask_full_cover(active, slice_cells(by_level[k + 1], axis, layers[k + 1], values[0][0]), axis, ratio, shift, geometry[k + 1][2])
+        quads = slice_values(by_level[k], axis, plane, layers[k] or 0, origin[a], size[a], values, active).withColumn("level", F.lit(k))
+        v, f = slice_mesh(quads, axis, plane, origin, size, flip)
+        vs, fs = (v, f) if vs is None else (vs.unionByName(v), fs.unionByName(f))
+    return vs, fs

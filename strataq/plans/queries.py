@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from strataq.functions import grid as G
 from strataq.operators import cells as C
+from strataq.functions.lineage import shared_path
 from strataq.operators import codec, decimate, isosurface, mesh, slices
 from strataq.plans import lattice as L
+from strataq.sources import archive, plot, plotfile, source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -321,6 +323,42 @@ def iso_vertices(spark, sf_dir):
     return vertices
 
 
+BOTH = """both_levels AS (SELECT lcubes.* FROM lcubes SEMI JOIN (SELECT * FROM lr WHERE vmin <= 50000.0 AND vmax > 50000.0) r ON ax >> 5 = cx AND ay >> 5 = cy AND az >> 5 = cz
+UNION ALL SELECT ccubes.* FROM ccubes SEMI JOIN (SELECT * FROM cr WHERE vmin <= 50000.0 AND vmax > 50000.0) r ON ax >> 5 = cx AND ay >> 5 = cy AND az >> 5 = cz
+WHERE (ax, ay, az) NOT IN (SELECT (x // 2, y // 2, z // 2) FROM lf))"""
+TWO_LEVELS = (L_CUBES, LC_CUBES, ranges_sql("lf", "lcubes", "lr"), ranges_sql("lc", "ccubes", "cr"), BOTH, edge_rows("both_levels", L_ISO))
+L_GEOMETRY = {0: ((0.0, 0.0, 0.0), (2.0, 2.0, 2.0)), 1: ((0.0, 0.0, 0.0), (1.0, 1.0, 1.0))}
+
+
+def l_surface(spark, sf_dir, **options) -> tuple[DataFrame, DataFrame]:
+    levels = {0: L.l_coarse(spark, sf_dir).withColumn("q", F.col("v") / 1000.0), 1: L.l_fine(spark, sf_dir)}
+    return isosurface.isosurface_of_levels(levels, L_ISO, geometry=L_GEOMETRY, **options)
+
+
+SIZED = ", ".join(f"CAST(CAST((e.{a} + CASE WHEN axis = {i} THEN t ELSE 0 END + 0.5) * (2 - e.level) AS FLOAT) AS DOUBLE) AS p{a}" for i, a in enumerate("xyz"))
+VID = "(CAST(e.level AS BIGINT) << 56) | (CAST(e.z AS BIGINT) << 38) | (CAST(e.y AS BIGINT) << 20) | (CAST(e.x AS BIGINT) << 2) | axis"
+
+
+@query(f"SELECT {VID} AS vid, level, {SIZED} FROM edges e", *TWO_LEVELS)
+def iso_multilevel_vertices(spark, sf_dir):
+    """The edge vertices of the surface over both levels; interior ones aren't in the SQL."""
+    vertices, _ = l_surface(spark, sf_dir)
+    return doubles(vertices.where(F.col("vid").bitwiseAND(F.lit(3)) != isosurface.INTERIOR).select("vid", "level", "px", "py", "pz"), "px", "py", "pz")
+
+
+@query(f"""SELECT {VID} AS vid, CAST(floor(greatest(0.0, least(1.0, ((a.q + (b.q - a.q) * t) - 1.0) / 49.0)) * 65535.0 + 0.5) AS INT) AS u_q_code
+FROM edges e JOIN bq a ON a.level = e.level AND a.x = e.x AND a.y = e.y AND a.z = e.z
+JOIN bq b ON b.level = e.level AND b.x = e.x + CAST(axis = 0 AS INT) AND b.y = e.y + CAST(axis = 1 AS INT) AND b.z = e.z + CAST(axis = 2 AS INT)""", *TWO_LEVELS, "bq AS (SELECT level, x, y, z, q FROM lf UNION ALL SELECT level, x, y, z, v / 1000.0 FROM lc)")
+def iso_multilevel_samples(spark, sf_dir):
+    vertices, _ = l_surface(spark, sf_dir, samples=[("q", 1.0, 50.0)])
+    return vertices.where(F.col("vid").bitwiseAND(F.lit(3)) != isosurface.INTERIOR).select("vid", "u_q_code")
+
+
+@query()
+def iso_multilevel_faces(spark, sf_dir):
+    return l_surface(spark, sf_dir)[1]
+
+
 # -- slices ------------------------------------------------------------------------------------------------------------
 
 
@@ -358,6 +396,92 @@ def slice_faces(spark, sf_dir):
     return faces.select("fid", "a", "b", "c")
 
 
+SLICED = """fine_slice AS (SELECT 1 AS level, x, y, z, greatest(0.0, least(1.0, (v - 1000.0) / 89000.0)) AS u0 FROM lf WHERE z = 2),
+coarse_slice AS (SELECT 0 AS level, a.x, a.y, a.z, greatest(0.0, least(1.0, (coalesce(a.v + (b.v - a.v) * 0.25, a.v) - 1000.0) / 89000.0)) AS u0
+  FROM lc a LEFT JOIN lc b ON b.x = a.x AND b.y = a.y AND b.z = a.z - 1 WHERE a.z = 1 AND (a.x, a.y) NOT IN (
+    SELECT (x, y) FROM (SELECT DISTINCT x // 2 AS x, y // 2 AS y, x % 2 AS p, y % 2 AS q FROM lf WHERE z = 2) GROUP BY x, y HAVING count(*) = 4)),
+sliced AS (SELECT * FROM fine_slice UNION ALL SELECT * FROM coarse_slice)"""
+SLICE_CELL = "((CAST(level AS BIGINT) << 58) + (CAST(y AS BIGINT) << 28) + x)"
+
+
+def l_slice(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    levels = {0: L.l_coarse(spark, sf_dir), 1: L.l_fine(spark, sf_dir)}
+    extents = {0: (20, 20, 4), 1: (40, 40, 8)}
+    return slices.slice_of_levels(levels, "z", 2.5, {k: (*L_GEOMETRY[k], extents[k]) for k in levels}, [("v", 1000.0, 90000.0)])
+
+
+@query(f"""SELECT {SLICE_CELL} * 4 + i AS vid, level, CAST((x + dx) * (2 - level) AS DOUBLE) AS px, CAST((y + dy) * (2 - level) AS DOUBLE) AS py, CAST(2.5 AS DOUBLE) AS pz, CAST(CAST(u0 AS FLOAT) AS DOUBLE) AS u
+FROM sliced, (VALUES (0, 0, 0), (1, 0, 1), (2, 1, 1), (3, 1, 0)) AS q(i, dx, dy)""", SLICED)
+def slice_multilevel(spark, sf_dir):
+    return doubles(l_slice(spark, sf_dir)[0].select("vid", "level", "px", "py", "pz", "u"), "px", "py", "pz", "u")
+
+
+@query(f"SELECT {SLICE_CELL} * 2 + i AS fid, {SLICE_CELL} * 4 AS a, {SLICE_CELL} * 4 + i + 1 AS b, {SLICE_CELL} * 4 + i + 2 AS c FROM sliced, (VALUES (0), (1)) AS q(i)", SLICED)
+def slice_multilevel_faces(spark, sf_dir):
+    return l_slice(spark, sf_dir)[1].select("fid", "a", "b", "c")
+
+
+# -- plotfiles: both levels' patches are written as one in the shared folder and read again ------------------------------
+
+
+def written(spark, sf_dir) -> plot.AmrPlot:
+    layers = L.read(spark, sf_dir, "embeddings").agg(F.max(F.expr("vec_id div 64")) + 1).first()[0]
+    path = shared_path(spark, "plotfile")
+    domains = [plotfile.Box((0, 0, 0), (8 * n - 1, 8 * n - 1, layers * n - 1)) for n in (2, 4)]
+    source.export(L.e_patches(spark, sf_dir), path, ["density", "number"], domains, [(2.0,) * 3, (1.0,) * 3])
+    return plot.AmrPlot.open(spark, path)
+
+
+RANKED = "pr AS (SELECT level, patch_id AS vec_id, CAST(row_number() OVER (PARTITION BY level ORDER BY patch_id) - 1 AS INT) AS patch_id, lx, ly, lz, m, n0, n1 FROM (SELECT level, patch_id, min(x) AS lx, min(y) AS ly, min(z) AS lz, max(x) - min(x) + 1 AS m, min(v) AS n0, max(v) AS n1 FROM ep GROUP BY level, patch_id))"
+
+
+@query("SELECT level, component, pr.patch_id, x, y, z, CASE WHEN component = 0 THEN v ELSE i END AS v FROM ep JOIN pr ON pr.vec_id = ep.patch_id AND pr.level = ep.level, (VALUES (0), (1)) AS k(component)".replace("SELECT level,", "SELECT ep.level,"), RANKED)
+def plotfile_cells(spark, sf_dir):
+    return written(spark, sf_dir).cells()
+
+
+@query("SELECT x, y, z, v FROM ep WHERE level = 1")
+def plotfile_component_of_level(spark, sf_dir):
+    return written(spark, sf_dir).cells_of("density", levels=[1]).select(*XYZ, "v")
+
+
+@query("SELECT patch_id, count(*) AS n, sum(i) AS total FROM ep WHERE level = 0 GROUP BY patch_id".replace("SELECT patch_id", "SELECT pr.patch_id").replace("FROM ep WHERE level = 0 GROUP BY patch_id", "FROM ep JOIN pr ON pr.vec_id = ep.patch_id AND pr.level = ep.level WHERE ep.level = 0 GROUP BY pr.patch_id"), RANKED)
+def plotfile_filtered(spark, sf_dir):
+    """Filters on level and component, which the source takes where Spark pushes filters into Python sources."""
+    return written(spark, sf_dir).cells().where("level = 0 AND component = 1").groupBy("patch_id").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+@query("SELECT level, patch_id, lx, ly, lz, CAST(lx + m AS INT) AS hx, CAST(ly + m AS INT) AS hy, CAST(lz + m AS INT) AS hz, 0 AS ghost, CAST(lx * (2 - level) AS DOUBLE) AS plo_x, CAST((lx + m) * (2 - level) AS DOUBLE) AS phi_x FROM pr", RANKED)
+def plotfile_patches(spark, sf_dir):
+    return written(spark, sf_dir).patches().select("level", "patch_id", "lx", "ly", "lz", "hx", "hy", "hz", "ghost", "plo_x", "phi_x")
+
+
+@query("SELECT level, patch_id, component, CASE WHEN component = 0 THEN n0 ELSE 0 END AS vmin, CASE WHEN component = 0 THEN n1 ELSE m * m * m - 1 END AS vmax FROM pr, (VALUES (0), (1)) AS k(component)", RANKED)
+def plotfile_bounds(spark, sf_dir):
+    return written(spark, sf_dir).patch_bounds()
+
+
+@query("""SELECT k.level, 16 + 16 * k.level AS nx, CAST((1 + (SELECT max(vec_id // 64) FROM embeddings)) * (2 + 2 * k.level) AS INT) AS nz, CAST(2 - k.level AS DOUBLE) AS dx, CASE WHEN k.level = 1 THEN 2 END AS ratio, CASE WHEN k.level = 1 THEN 2 END AS rx,
+CAST((SELECT count(*) FROM pr WHERE pr.level = k.level) AS INT) AS n_patches FROM (VALUES (0), (1)) AS k(level)""", RANKED)
+def plotfile_levels(spark, sf_dir):
+    p = written(spark, sf_dir)
+    p.validate_all()
+    return p.levels().select("level", "nx", "nz", "dx", "ratio", "rx", "n_patches")
+
+
+@query("SELECT CAST(0 AS DOUBLE) AS time, 1 AS finest_level, CAST(32 AS DOUBLE) AS hi_x, CAST(4 * (1 + (SELECT max(vec_id // 64) FROM embeddings)) AS DOUBLE) AS hi_z, 0 AS coord_sys, component, name FROM (VALUES (0, 'density'), (1, 'number')) AS k(component, name)")
+def plotfile_header(spark, sf_dir):
+    p = written(spark, sf_dir)
+    return p.plot_header().select("time", "finest_level", "hi_x", "hi_z", "coord_sys").join(F.broadcast(p.variables()))
+
+
+@query("SELECT level, component, x, y, z, x >> 5 AS cx, y >> 5 AS cy, z >> 5 AS cz, CASE WHEN component = 0 THEN CAST(CAST(v AS FLOAT) AS DOUBLE) ELSE i END AS v FROM ep, (VALUES (0), (1)) AS k(component)")
+def plotfile_converted(spark, sf_dir):
+    path = shared_path(spark, "cells")
+    plot.convert(written(spark, sf_dir), path, double=(1,))
+    return spark.read.parquet(path).select("level", "component", *XYZ, "cx", "cy", "cz", "v")
+
+
 # -- grids that change -------------------------------------------------------------------------------------------------
 
 
@@ -384,18 +508,18 @@ def clear_box(spark, sf_dir):
     return doubles(C.clear_box(L.e_fine(spark, sf_dir), (2, 0, 0), (9, 30, 3)).select(*XYZ, "v"), "v")
 
 
-# -- meshes: a height field over the lowest layer, with the holes of the fine level -------------------------------------
+# -- meshes: a height field over each layer, with the holes of the fine level -------------------------------------
 
-MESH = """mv AS (SELECT CAST(y * 32 + x AS BIGINT) AS vid, CAST(x AS FLOAT) AS px, CAST(y AS FLOAT) AS py, CAST(floor(v * 64) / 64 AS FLOAT) AS pz FROM ef WHERE z = 0),
-sq AS (SELECT vid AS s FROM mv WHERE px < 31 AND vid + 1 IN (SELECT vid FROM mv) AND vid + 32 IN (SELECT vid FROM mv) AND vid + 33 IN (SELECT vid FROM mv)),
+MESH = """mv AS (SELECT CAST(z AS BIGINT) * 1024 + y * 32 + x AS vid, CAST(x AS FLOAT) AS px, CAST(y AS FLOAT) AS py, CAST(z + floor(v * 64) / 64 AS FLOAT) AS pz FROM ef),
+sq AS (SELECT vid AS s FROM mv WHERE px < 31 AND py < 31 AND vid + 1 IN (SELECT vid FROM mv) AND vid + 32 IN (SELECT vid FROM mv) AND vid + 33 IN (SELECT vid FROM mv)),
 mf AS (SELECT 2 * s AS fid, s AS a, s + 1 AS b, s + 33 AS c FROM sq UNION ALL SELECT 2 * s + 1, s, s + 33, s + 32 FROM sq),
 me AS (SELECT least(p, q) AS u, greatest(p, q) AS v, count(*) AS n FROM (SELECT a AS p, b AS q FROM mf UNION ALL SELECT b, c FROM mf UNION ALL SELECT c, a FROM mf) GROUP BY least(p, q), greatest(p, q)),
 adj AS (SELECT u AS src, v AS dst FROM me UNION ALL SELECT v, u FROM me)"""
 
 
 def height_field(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    v = L.e_fine(spark, sf_dir).where("z = 0").select((F.col("y") * 32 + F.col("x")).cast("long").alias("vid"), F.col("x").cast("float").alias("px"), F.col("y").cast("float").alias("py"), (F.floor(F.col("v") * 64) / 64).cast("float").alias("pz"))
-    squares = v.where("px < 31").select(F.col("vid").alias("s"))
+    v = L.e_fine(spark, sf_dir).select((F.col("z").cast("long") * 1024 + F.col("y") * 32 + F.col("x")).alias("vid"), F.col("x").cast("float").alias("px"), F.col("y").cast("float").alias("py"), (F.col("z") + F.floor(F.col("v") * 64) / 64).cast("float").alias("pz"))
+    squares = v.where("px < 31 AND py < 31").select(F.col("vid").alias("s"))
     for d in (1, 32, 33):
         squares = squares.join(v.select((F.col("vid") - d).alias("s")), "s", "left_semi")
     s = F.col("s")
@@ -477,10 +601,10 @@ def weld_vertices(spark, sf_dir):
     return doubles(mesh.weld(own.join(v.withColumnRenamed("vid", "key"), "key"), ["key"]).drop("key"), "px", "py", "pz")
 
 
-@query("SELECT min(fid) AS fid FROM (SELECT fid, a, b, c FROM mf UNION ALL SELECT fid + 1000000, b, c, a FROM mf WHERE fid % 3 = 0) GROUP BY list_sort([a, b, c])", MESH)
+@query("SELECT min(fid) AS fid FROM (SELECT fid, a, b, c FROM mf UNION ALL SELECT fid + 1000000000000, b, c, a FROM mf WHERE fid % 3 = 0) GROUP BY list_sort([a, b, c])", MESH)
 def face_dedup(spark, sf_dir):
     _, f = height_field(spark, sf_dir)
-    again = f.where("fid % 3 = 0").select((F.col("fid") + 1000000).alias("fid"), F.col("b").alias("a"), F.col("c").alias("b"), F.col("a").alias("c"))
+    again = f.where("fid % 3 = 0").select((F.col("fid") + 1000000000000).alias("fid"), F.col("b").alias("a"), F.col("c").alias("b"), F.col("a").alias("c"))
     return mesh.distinct_faces(f.unionByName(again)).select("fid")
 
 
@@ -553,6 +677,53 @@ def archive_roundtrip(spark, sf_dir):
     return codec.decode(codec.encode(cells, {0: codec.Policy("smallest", 2.0, scalar="f64")}))
 
 
+@query("SELECT component, x, y, z, CASE WHEN component = 0 THEN CAST(CAST(v AS FLOAT) AS DOUBLE) ELSE q END AS v FROM lf, (VALUES (0), (1)) AS k(component)")
+def archive_read(spark, sf_dir):
+    """Written without loss, one component as floats and one without a policy, and read again."""
+    path = shared_path(spark, "archive")
+    archive.write(l_long(spark, sf_dir), {0: codec.Policy(scalar="f32")}, path)
+    return archive.read(spark, path, [1, 0]).select("component", *XYZ, "v")
+
+
+@query(f"SELECT component, x, y, z, CASE WHEN component = 0 THEN {CODE} / CAST(4294967295.0 AS DOUBLE) ELSE q END AS v FROM lf, (VALUES (0), (1)) AS k(component)")
+def archive_transcoded(spark, sf_dir):
+    """A normalised component and one of doubles, encoded twice."""
+    a, b = shared_path(spark, "archive"), shared_path(spark, "archive")
+    archive.write(l_long(spark, sf_dir), {0: codec.Policy(scalar="unorm32", unorm=(1000.0, 90000.0))}, a)
+    archive.transcode(spark, a, {}, b)
+    return archive.read(spark, b).select("component", *XYZ, "v")
+
+
+@query("SELECT 0 AS component, 'f32' AS scalar UNION ALL SELECT 1, 'f64'")
+def archive_components(spark, sf_dir):
+    path = shared_path(spark, "archive")
+    archive.write(l_long(spark, sf_dir), {0: codec.Policy(scalar="f32")}, path)
+    return archive.components(spark, path).select("component", "scalar")
+
+
+@query("SELECT level, component, x >> 5 AS cx, y >> 5 AS cy, z >> 5 AS cz, count(*) AS n, min(CASE WHEN component = 0 THEN v ELSE q END) AS low FROM lf, (VALUES (0), (1)) AS k(component) GROUP BY level, component, x >> 5, y >> 5, z >> 5")
+def chunks_mapped(spark, sf_dir):
+    """A function of each chunk's cells."""
+    out = None
+    for component in (0, 1):
+        part = C.map_chunks(l_long(spark, sf_dir).where(F.col("component") == component), summary, "level int, cx int, cy int, cz int, n long, low double").withColumn("component", F.lit(component))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def summary(cells):
+    return cells.groupby(["level", "cx", "cy", "cz"], as_index=False).agg(n=("v", "size"), low=("v", "min"))
+
+
+@query("SELECT CAST(coalesce(b.x, f.x) AS INT) AS x, CAST(coalesce(b.y, f.y) AS INT) AS y, CAST(coalesce(b.z, f.z) AS INT) AS z, CAST(coalesce(b.v, f.v) AS DOUBLE) AS v FROM ef f FULL JOIN (SELECT * FROM ea WHERE label = 0) b ON b.x = f.x AND b.y = f.y AND b.z = f.z")
+def blocks_written(spark, sf_dir):
+    """The blocks of label 0 written into the grid of the others."""
+    e = L.read(spark, sf_dir, "embeddings").where("label = 0")
+    at = [(F.expr(x) * 4).cast("int").alias(a) for x, a in (("vec_id % 8", "lx"), ("(vec_id div 8) % 8", "ly"), ("vec_id div 64", "lz"))]
+    blocks = e.select(*at, *(F.lit(4).alias(f"n{a}") for a in "xyz"), F.col("embedding").alias("values"))
+    return doubles(C.write_blocks(L.e_fine(spark, sf_dir), blocks, (0, 0, 0), (32, 32, 1 << 30)), "v")
+
+
 @query()
 def archive_codec_stats(spark, sf_dir):
     cells = L.e_cells(spark, sf_dir).withColumn("component", F.lit(0))

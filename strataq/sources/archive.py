@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from strataq.operators import codec as C
 
 
-def write(cells: DataFrame, policies: dict[int, C.Policy], path: str) -> DataFrame:
-    """Encodes cells (level, component, x, y, z, v) and writes them; gives the codec statistics."""
-    chunks = C.encode(cells, policies)
+def write(cells: DataFrame, policies: dict[int, C.Policy], path: str, in_domain: bool = False) -> DataFrame:
+    """Encodes cells (level, component, x, y, z, v) and writes them; gives the codec statistics. Components without a policy are
+    stored without loss in the type of v. All components that are there get a row of the component table."""
+    kind = "f32" if cells.schema["v"].dataType.simpleString() == "float" else "f64"
+    there = [r[0] for r in cells.select("component").distinct().collect()]  # as many rows as there are components
+    policies = {c: C.Policy(scalar=kind) for c in there} | policies
+    chunks = C.encode(cells, policies, in_domain=in_domain)
     chunks.sortWithinPartitions("level", "component", "cx", "cy", "cz").write.partitionBy("level", "component").parquet(f"{path}/chunks")
     spark = cells.sparkSession
     rows = [(c, p.scalar, p.select, p.absolute, p.relative, *(p.unorm or (None, None))) for c, p in sorted(policies.items())]
@@ -29,17 +33,34 @@ def read(spark: SparkSession, path: str, components: list[int] | None = None) ->
     if components is not None:
         if len(set(components)) != len(components):
             raise ValueError("components must be different")
+        if absent := set(components) - set(policies_of(spark, path)):
+            raise ValueError(f"components {sorted(absent)} aren't in the archive")
         chunks = chunks.where(F.col("component").isin(components))
     return C.decode(chunks)
 
 
+def components(spark: SparkSession, path: str) -> DataFrame:
+    """component, scalar, select, absolute, relative, low, high of all stored components."""
+    return spark.read.parquet(f"{path}/components")
+
+
+def policies_of(spark: SparkSession, path: str) -> dict[int, C.Policy]:
+    """The policies that an archive's components were written under."""
+    rows = components(spark, path).collect()
+    return {r["component"]: C.Policy(r["select"], r["absolute"], r["relative"], r["scalar"], None if r["low"] is None else (r["low"], r["high"])) for r in rows}
+
+
 def transcode(spark: SparkSession, path: str, policies: dict[int, C.Policy], target: str) -> DataFrame:
-    """Decodes, works out ranges again and encodes under other policies; scalar types stay."""
-    old = {r["component"]: r for r in spark.read.parquet(f"{path}/components").collect()}
+    """Decodes, works out ranges again and encodes under other policies, without loss where none is given. Scalar types and the
+    bounds of normalised components stay, and values are never normalised twice."""
+    old = policies_of(spark, path)
+    if absent := set(policies) - set(old):
+        raise ValueError(f"components {sorted(absent)} aren't in the archive")
     for c, p in policies.items():
-        if c in old and p.scalar != old[c]["scalar"]:
-            raise ValueError("transcoding keeps scalar types")
-    return write(read(spark, path), policies, target)
+        if (p.scalar, p.unorm) != (old[c].scalar, old[c].unorm):
+            raise ValueError("transcoding keeps scalar types and their bounds")
+    kept = {c: C.Policy(scalar=p.scalar, unorm=p.unorm) for c, p in old.items()}
+    return write(read(spark, path), kept | policies, target, in_domain=True)
 
 
 def problems(chunks: DataFrame) -> DataFrame:

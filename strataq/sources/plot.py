@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,7 @@ class AmrPlot:
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> AmrPlot:
         """Reads the Header; levels' Cell_H are read when they are needed."""
+        path = path.removeprefix("file://")
         return cls(spark, path, P.parse_header(open(os.path.join(path, "Header")).read()))
 
     def cell_header(self, level: int) -> P.CellHeader:
@@ -94,8 +96,16 @@ class AmrPlot:
         r = self.spark.read.format("amr").option("component", ",".join(map(str, chosen)))
         if levels is not None:
             r = r.option("level", ",".join(map(str, levels)))
+        if self.spark.conf.get("spark.sql.python.filterPushdown.enabled") == "true":
+            r = r.option("pushdown", "true")
         return r.load(self.path)
 
+    def cells_of(self, *names: str, levels: list[int] | None = None) -> DataFrame:
+        """cells() of components by their exact names."""
+        if unknown := [n for n in names if self.component(n) is None]:
+            raise ValueError(f"no variables {unknown}")
+        return self.cells([self.component(n) for n in names], levels)
+
     def describe(self) -> DataFrame:
         return self.levels().select("level", "nx", "ny", "nz", "n_patches", "step", "time")
 
@@ -114,6 +124,7 @@ def convert(plot: AmrPlot, target: str, components: list[int] | None = None, dou
 
     Values that aren't finite, or not as floats where floats are stored (components in `double` stay doubles), are an error
     unless replace puts 0 for them. Later patches overwrite earlier ones. Only Cartesian plotfiles are converted."""
+    began = time.monotonic()
     if plot.header.coordinates != 0:
         raise ValueError("only Cartesian data is converted")
     chosen = resolve(components, len(plot.header.variables))
@@ -127,4 +138,4 @@ def convert(plot: AmrPlot, target: str, components: list[int] | None = None, dou
     last = cells.withColumn("v", value).groupBy("level", "component", "x", "y", "z").agg(F.max_by("v", "patch_id").alias("v"))
     out = last.withColumns(dict(zip(("cx", "cy", "cz"), G.chunk_key(), strict=True))).repartition("level", "component", "cz", "cy").sortWithinPartitions("cz", "cy", "cx", "z", "y", "x")
     out.write.partitionBy("level", "component").parquet(target)
-    return {"samples": sum(r["samples"] for r in report), "component_patches": sum(r["patches"] for r in report), "replaced": {r["component"]: r["replaced"] for r in report}}
+    return {"samples": sum(r["samples"] for r in report), "component_patches": sum(r["patches"] for r in report), "replaced": {r["component"]: r["replaced"] for r in report}, "seconds": time.monotonic() - began}

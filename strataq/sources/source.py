@@ -11,7 +11,10 @@ import os
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
 from strataq.sources import plotfile as P
@@ -123,34 +126,86 @@ class AmrSource(DataSource):
         return (PushingReader if self.options.get("pushdown") == "true" else AmrReader)(self.options)
 
 
-def write_plotfile(path: str, levels: list[list[tuple[P.Box, np.ndarray]]], variables: list[str], domains: list[P.Box], sizes: list[tuple], ghost: int = 0, dtype: str = "<f8", time: float = 0.0) -> None:
-    """A plotfile of patches (box, values of shape components, nz, ny, nx with ghost cells); for tests and small exports."""
+@dataclass
+class Written:
+    """A patch as it lies in a file: its box, file and offset, and the minima and maxima of its components."""
+
+    box: P.Box
+    file: str
+    offset: int
+    minima: list[float]
+    maxima: list[float]
+
+
+def put_block(f, offset: int, box: P.Box, values: np.ndarray, ghost: int, dtype: str, file: str) -> Written:
+    """Appends a block (values: components, nz, ny, nx with ghost cells) to an open file."""
+    kind = np.dtype(dtype)
+    fmt = P.FLOAT64 if kind.itemsize == 8 else P.FLOAT32
+    order = range(kind.itemsize, 0, -1) if dtype[0] == "<" else range(1, kind.itemsize + 1)
+    row = lambda t: " ".join(map(str, t))
+    f.write(f"FAB ((8, ({row(fmt)})),({kind.itemsize}, ({row(order)}))){box.grown(ghost).text()} {len(values)}\n".encode())
+    f.write(values.astype(kind).tobytes())
+    inner = values[:, ghost : values.shape[1] - ghost, ghost : values.shape[2] - ghost, ghost : values.shape[3] - ghost]
+    return Written(box, file, offset, *(g(inner, axis=(1, 2, 3)).astype(float).tolist() for g in (np.min, np.max)))
+
+
+def put_metadata(path: str, levels: list[list[Written]], variables: list[str], domains: list[P.Box], sizes: list[tuple], ghost: int = 0, time: float = 0.0) -> None:
+    """The Header and each level's Cell_H."""
     ratios = [P.ratio_of(a, b)[0] for a, b in zip(sizes, sizes[1:], strict=False)]
     lo, hi = (0.0, 0.0, 0.0), tuple(n * s for n, s in zip(domains[0].shape, sizes[0], strict=True))
     row = lambda t: " ".join(map(str, t))
     head = [P.VERSION_LINE, str(len(variables)), *variables, "3", str(time), str(len(levels) - 1), row(lo), row(hi), row(ratios), row(d.text() for d in domains), row([0] * len(levels)), *map(row, sizes), "0", "0"]
     for i, patches in enumerate(levels):
         head += [f"{i} {len(patches)} {time}", "0"]
-        for box, _ in patches:
-            head += [f"{a * s} {(h + 1) * s}" for a, h, s in zip(box.lo, box.hi, sizes[i], strict=True)]
+        for p in patches:
+            head += [f"{a * s} {(h + 1) * s}" for a, h, s in zip(p.box.lo, p.box.hi, sizes[i], strict=True)]
         head.append(f"Level_{i}/Cell")
+        cell = ["1", "1", str(len(variables)), str(ghost), f"({len(patches)} 0", *(p.box.text() for p in patches), ")", str(len(patches)), *(f"FabOnDisk: {p.file} {p.offset}" for p in patches), ""]
+        for bounds in ([p.minima for p in patches], [p.maxima for p in patches]):
+            cell += [f"{len(patches)},{len(variables)}", *(",".join(map(repr, b)) + "," for b in bounds), ""]
         os.makedirs(f"{path}/Level_{i}", exist_ok=True)
-        refs, offset = [], 0
-        kind = np.dtype(dtype)
-        fmt = P.FLOAT64 if kind.itemsize == 8 else P.FLOAT32
-        order = range(kind.itemsize, 0, -1) if dtype[0] == "<" else range(1, kind.itemsize + 1)
-        with open(f"{path}/Level_{i}/Cell_D_00000", "wb") as f:
-            for box, values in patches:
-                refs.append(f"FabOnDisk: Cell_D_00000 {offset}")
-                g = box.grown(ghost)
-                line = f"FAB ((8, ({row(fmt)})),({kind.itemsize}, ({row(order)}))){g.text()} {len(variables)}\n".encode()
-                raw = values.astype(kind).tobytes()
-                f.write(line + raw)
-                offset += len(line) + len(raw)
-        inner = [v[:, ghost : v.shape[1] - ghost, ghost : v.shape[2] - ghost, ghost : v.shape[3] - ghost] for _, v in patches]
-        bounds = [[",".join(map(repr, map(float, f(v, axis=(1, 2, 3))))) + "," for v in inner] for f in (np.min, np.max)]
-        cell = ["1", "1", str(len(variables)), str(ghost), f"({len(patches)} 0", *(b.text() for b, _ in patches), ")", str(len(patches)), *refs, ""]
-        for rows in bounds:
-            cell += [f"{len(patches)},{len(variables)}", *rows, ""]
         open(f"{path}/Level_{i}/Cell_H", "w").write("\n".join(cell) + "\n")
     open(f"{path}/Header", "w").write("\n".join(head) + "\n")
+
+
+def write_plotfile(path: str, levels: list[list[tuple[P.Box, np.ndarray]]], variables: list[str], domains: list[P.Box], sizes: list[tuple], ghost: int = 0, dtype: str = "<f8", time: float = 0.0) -> None:
+    """A plotfile of patches (box, values of shape components, nz, ny, nx with ghost cells) in the driver's memory; for tests."""
+    written = []
+    for i, patches in enumerate(levels):
+        os.makedirs(f"{path}/Level_{i}", exist_ok=True)
+        with open(f"{path}/Level_{i}/Cell_D_00000", "wb") as f:
+            written.append([put_block(f, f.tell(), box, values, ghost, dtype, "Cell_D_00000") for box, values in patches])
+    put_metadata(path, written, variables, domains, sizes, ghost, time)
+
+
+def export(patches: DataFrame, path: str, variables: list[str], domains: list[P.Box], sizes: list[tuple], dtype: str = "<f8", time: float = 0.0) -> None:
+    """Writes patches (level, patch_id, lx, ly, lz, nx, ny, nz, values: an array of doubles for each component, x fastest) as a
+    plotfile. Each task writes files of its own in the folder, which driver and tasks share, and under a name of its own until
+    they are whole, so a task may run twice. Only the patches' metadata, which the format keeps in one file, reaches the
+    driver; patches are numbered by patch_id. Patches have no ghost cells here."""
+    path = path.removeprefix("file://")
+    for i in range(len(domains)):
+        os.makedirs(f"{path}/Level_{i}", exist_ok=True)
+
+    def run(frames):
+        task = TaskContext.get()
+        name, files, rows = f"Cell_D_{task.partitionId():05d}", {}, []
+        for frame in frames:
+            for r in frame.itertuples():
+                f = files.setdefault(r.level, open(f"{path}/Level_{r.level}/.{name}-{task.taskAttemptId()}", "wb")) if r.level not in files else files[r.level]
+                box = P.Box((r.lx, r.ly, r.lz), (r.lx + r.nx - 1, r.ly + r.ny - 1, r.lz + r.nz - 1))
+                values = np.stack([np.asarray(v, float).reshape(r.nz, r.ny, r.nx) for v in r.values])
+                w = put_block(f, f.tell(), box, values, 0, dtype, name)
+                rows.append((r.level, r.patch_id, *w.box.lo, *w.box.hi, w.file, w.offset, w.minima, w.maxima))
+        for level, f in files.items():
+            f.close()
+            os.replace(f.name, f"{path}/Level_{level}/{name}")
+        if rows:
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in kinds.split(", ")])
+
+    kinds = "level int, patch_id long, ax int, ay int, az int, bx int, by int, bz int, file string, offset long, minima array<double>, maxima array<double>"
+    made = patches.select("level", "patch_id", "lx", "ly", "lz", "nx", "ny", "nz", "values").mapInPandas(run, kinds)
+    levels: list[list[Written]] = [[] for _ in domains]
+    for r in sorted(made.collect(), key=lambda r: (r["level"], r["patch_id"])):
+        levels[r["level"]].append(Written(P.Box((r["ax"], r["ay"], r["az"]), (r["bx"], r["by"], r["bz"])), r["file"], r["offset"], r["minima"], r["maxima"]))
+    put_metadata(path, levels, variables, domains, sizes, time=time)

@@ -23,6 +23,7 @@ def test_one_cube(spark, tmp_path, dtype):
     assert plot.patch_bounds().first()[3:] == (0.0, 7.0)
     plot.validate_all()
     report = convert(plot, str(tmp_path / "out"))
+    assert report.pop("seconds") > 0
     assert report == {"samples": 8, "component_patches": 1, "replaced": {0: 0}}
     assert spark.read.parquet(str(tmp_path / "out")).count() == 8
 
