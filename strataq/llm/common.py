@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,21 +26,41 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again: lineage ends there, and a lost executor costs no recomputation."""
+#: What cut() has written within each scratch() that is open.
+_open: list[list[str]] = []
+
+
+def cut(df: DataFrame, what: str = "cut", keep: bool = False) -> DataFrame:
+    """df, written once as Parquet in the shared folder and read again: lineage ends there, and a lost executor costs no recomputation.
+    Within scratch() it is deleted at its end unless it is to be kept."""
     path = f"{shared_dir(df.sparkSession)}/strataq/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open and not keep:
+        _open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_cut(df: DataFrame) -> None:
     """Deletes what cut() has written, once nothing reads it any more."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    delete(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    for name in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(name)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes in the end what cut() writes meanwhile. Results that read it must have been written by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        delete(spark, _open.pop())
+
+
 #: Sets of so many ids are broadcast at most (8 MB of longs); larger ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -53,4 +75,3 @@ def without(docs: DataFrame, bad: DataFrame, id_col: str) -> DataFrame:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for a row, however often a lambda inside body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
-

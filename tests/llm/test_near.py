@@ -39,39 +39,43 @@ def test_bit_parallel_distance_and_its_filter(spark):
     rows = []
     for _ in range(1500):
         a = "".join(rng.choices("abé", k=rng.randint(0, 40)))
-        rows.append((a, changed(rng, a, rng.randint(0, 4))))
+        rows.append((a, changed(rng, a, rng.randint(0, 5))))
     df = spark.createDataFrame(rows, "a string, b string")
-    for r in df.select("a", "b", line_dedup.edit_distance(F.col("a"), F.col("b")).alias("d"), line_dedup.may_be_near(F.col("a"), F.col("b")).alias("m")).collect():
+    for r in df.withColumn("mid", line_dedup.middles(F.col("a"), F.col("b"))).withColumn("m2", line_dedup.edit_distance(F.col("mid.a"), F.col("mid.b"))).select("a", "b", line_dedup.edit_distance(F.col("a"), F.col("b")).alias("d"), (line_dedup.may_be_near(F.col("a"), F.col("b"), 8) & line_dedup.may_be_near(F.col("a"), F.col("b"), 32)).alias("m"), F.col("m2")).collect():
         true = edits(r["a"], r["b"])
-        assert min(r["d"], 3) == min(true, 3)
+        assert min(r["d"], 3) == min(r["m2"], 3) == min(true, 3)
         assert r["m"] or true > 2
 
 
 def lined(rng):
-    base = ["".join(rng.choices("abcdefgh é", k=rng.randint(28, 60))).strip() or "x" for _ in range(30)]
+    base = ["".join(rng.choices("abcdefgh é", k=rng.choice((6, 20, 28, 31, 40, 60)))).strip() or "x" for _ in range(40)]
     rows = []
-    for i in range(60):
-        lines = [rng.choice(base) if rng.random() < 0.3 else changed(rng, rng.choice(base), rng.randint(0, 4)) for _ in range(rng.randint(0, 6))]
-        lines += ["short", "short"] if rng.random() < 0.3 else []
+    for i in range(80):
+        lines = [rng.choice(base) if rng.random() < 0.3 else changed(rng, rng.choice(base), rng.randint(0, 5)) for _ in range(rng.randint(0, 6))]
+        lines += ["short", "short", "---", "", "---"] if rng.random() < 0.3 else []
         rows.append((i, "\n".join(lines)))
     return rows
 
 
+def alike(a, b):
+    return min(len(a), len(b)) >= 30 and abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2
+
+
 def brute_lines(rows):
-    """By document: long lines that stay, by position; and counts (n_lines, n_exact, n_near)."""
+    """By document: its text without the lines that go; and counts (n_lines, n_exact, n_near)."""
     blanks, first, out = line_dedup.BLANKS, [], {}
     for doc, text in sorted(rows, key=lambda r: r[0]):
         stays, exact, near, n = [], 0, 0, 0
-        for i, x in enumerate((text or "").split("\n")):
+        for x in (text or "").split("\n"):
             s = x.strip(blanks)
-            if len(s) < line_dedup.LEAST_CHARS:
+            if not any(c.isalnum() for c in s):
                 stays.append(x)
                 continue
             n += 1
             if s in first:
                 exact += 1
             else:
-                if any(abs(len(s) - len(o)) <= 2 and edits(s, o) <= 2 for o in first):
+                if any(alike(s, o) for o in first):
                     near += 1
                 else:
                     stays.append(x)
@@ -80,8 +84,11 @@ def brute_lines(rows):
     return out
 
 
-def test_line_dedup_against_brute_force(spark):
-    rows = lined(random.Random(5))
+@pytest.mark.parametrize("seed,crowd,growth", [(5, 8, 16), (6, 1, 4)])
+def test_line_dedup_against_brute_force(spark, monkeypatch, seed, crowd, growth):
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    monkeypatch.setattr(line_dedup, "GROWTH", growth)
+    rows = lined(random.Random(seed))
     df = spark.createDataFrame([(i, t, len(t), "k") for i, t in rows], "doc_id long, text string, n_chars long, doc string")
     want = brute_lines(rows)
     got = {r["doc_id"]: (r["n_lines"], r["n_exact"], r["n_near"]) for r in line_dedup.dedup_lines(df).collect()}
@@ -92,23 +99,38 @@ def test_line_dedup_against_brute_force(spark):
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in cleaned.collect()} == {k: (v[0], len(v[0])) for k, v in want.items()}
 
 
+def test_line_dedup_of_many_near_copies_makes_no_squares(spark, monkeypatch):
+    """5,000 lines within two edits of the first, and 600 that differ from one another in a word or more."""
+    base, rng, made = ("the quick brown fox jumps over the lazy dog and runs away " * 2).strip(), random.Random(1), []
+    near = {base[: 20 + i % 90] + chr(97 + i % 26) + chr(97 + i // 26 % 26) + base[22 + i % 90 :] for i in range(9000)} - {base}
+    near = sorted(x for x in near if x.strip() == x)[:5000]
+    far = [base[:p] + "".join(rng.choices("QWXYZJKV", k=7)) + base[p + 7 :] for p in (rng.randrange(10, 100) for _ in range(600))]
+    later, met = line_dedup.later_of, line_dedup.witnessed
+    monkeypatch.setattr(line_dedup, "later_of", lambda pairs, texts: (made.append(pairs.count()), later(pairs, texts))[1])
+    monkeypatch.setattr(line_dedup, "witnessed", lambda needing, other, parts: (made.append(met(needing, other, parts).count()), met(needing, other, parts))[1])
+    df = spark.createDataFrame(list(enumerate([base, *near, *far])), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_near"] for r in line_dedup.dedup_lines(df).collect()}
+    assert len(near) == 5000 and sum(got[i] for i in range(1, 5001)) == 5000 and got[0] == 0
+    assert sum(got[i] for i in range(5001, 5601)) < 60
+    assert sum(made) < 40 * len(got)
+
+
 def test_line_dedup_edges(spark):
     long = "y" * 40 + " " + "z" * 40
-    rows = [(1, long), (1, long), (None, long), (2, None), (3, ""), (4, f"  {long}\t\n{long}x\nshort"), (5, "w" * 100_000)]
+    rows = [(1, long), (1, long), (None, long), (2, None), (3, ""), (4, f"  {long}\t\n{long}x\nshort"), (5, "w" * 100_000), (6, "short\n-\n-\nshort \nShort")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h1", F.lit(1)).withColumn("line", F.lit("q"))
     got = {r["doc_id"]: tuple(r)[1:] for r in line_dedup.dedup_lines(df).collect()}
-    assert got == {1: (2, 1, 0), None: (1, 1, 0), 2: (0, 0, 0), 3: (0, 0, 0), 4: (2, 1, 1), 5: (1, 0, 0)}
+    assert got == {1: (2, 1, 0), None: (1, 1, 0), 2: (0, 0, 0), 3: (0, 0, 0), 4: (3, 1, 1), 5: (1, 0, 0), 6: (3, 2, 0)}
     cleaned = sorted((str(r["doc_id"]), r["text"]) for r in line_dedup.clean(df).collect())
-    assert cleaned == sorted([("1", long), ("1", long), ("None", ""), ("2", None), ("3", ""), ("4", "short"), ("5", "w" * 100_000)], key=lambda x: (x[0], x[1] or ""))
+    want = [("1", long), ("1", long), ("None", ""), ("2", None), ("3", ""), ("4", "short"), ("5", "w" * 100_000), ("6", "-\n-\nShort")]
+    assert cleaned == sorted(want, key=lambda x: (x[0], x[1] or ""))
     assert line_dedup.dedup_lines(df.where("false")).count() == 0 and line_dedup.clean(df.where("false")).count() == 0
 
 
-def test_pipeline_removes_exact_repeats_of_short_lines(spark):
-    long = "y" * 40 + " " + "z" * 40
-    rows = [(1, f"Share this\n{long}\n---\nown words"), (2, f"Share this \n---\n\nother words\n{long}"), (3, "Share this\nother words\nother words"), (4, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_deduplication(spark, df, "").collect()}
-    assert got == {1: rows[0][1], 2: "---\n\nother words", 3: "", 4: None}
+def test_line_dedup_takes_rows_of_a_null_id_as_documents(spark):
+    rows = [(None, "a line of some length here\nown words one"), (None, "a line of some length here\nown words two")]
+    got = sorted(r["text"] for r in line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert sorted("\n".join(got).split("\n")) == ["a line of some length here", "own words one", "own words two"]
 
 
 def test_golay_keys_meet_within_one_bit():
