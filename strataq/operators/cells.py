@@ -195,17 +195,17 @@ def mask_full_cover(coarse: DataFrame, fine: DataFrame, axis: str, ratio=(2, 2,
 STEP = ((2, 2, 2), (0, 0, 0))
 
 
-def active_cubes(by_level: dict[int, DataFrame], samples: dict[int, DataFrame], iso: float, steps: dict[int, tuple] | None = None) -> DataFrame:
+def active_cubes(by_level: dict[int, DataFrame], samples: dict[int, DataFrame], iso: float, steps: dict[int, tuple] | None = None, ranges: DataFrame | None = None) -> DataFrame:
     """Cubes with corners of all levels that may hold a surface: complete, their anchor not under the next finer selected
     level, and in a chunk whose range has the isovalue (ranges are those before masking). steps: by coarse level, (ratio,
-    shift) with fine = coarse * ratio + shift."""
+    shift) with fine = coarse * ratio + shift. ranges: all levels' chunk ranges, where they are known already."""
     out, levels = None, sorted(by_level)
     for i, level in enumerate(levels):
         own = by_level[level]
         left = own
         if i + 1 < len(levels) and levels[i + 1] == level + 1:
             left = mask_any_cover(own, samples[level + 1], *(steps or {}).get(level, STEP), ("ax", "ay", "az"))
-        chunks = crossing(chunk_ranges(samples[level], own), iso)
+        chunks = crossing(chunk_ranges(samples[level], own) if ranges is None else ranges.where(F.col("level") == level), iso)
         keyed = left.withColumns(dict(zip(("cx", "cy", "cz"), G.chunk_key("ax", "ay", "az"), strict=True)))
         left = keyed.join(chunks, ["level", "cx", "cy", "cz"], "left_semi").drop("cx", "cy", "cz")
         out = left if out is None else out.unionByName(left)

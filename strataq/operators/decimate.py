@@ -131,8 +131,12 @@ def simplify(pdf: pd.DataFrame, target: int, limit: float, lock: bool, weights:
 def decimate(vertices: DataFrame, faces: DataFrame, options: Options = Options()) -> tuple[DataFrame, DataFrame, dict]:
     """Vertices (only those still named) and faces, and a report: faces before and after, error, whether the target was reached.
 
-    A large mesh is cut into cells of a grid by its faces' centres; each group keeps its border fixed, so groups are
-    independent; the last pass over what is left runs as one task and is bounded by target plus reserve."""
+    A large mesh is cut into cells of a grid by its faces' centres; each group keeps its border fixed, so groups are independent.
+    Such passes are repeated, the grid moved by half a cell each time, while more than `grouped_from` faces are left and
+    get fewer; the last pass runs as one task, over fewer faces than that."""
+    wrong = M.validate(vertices, faces).collect()
+    if wrong:
+        raise ValueError(f"not a mesh: {', '.join(r['rule'] for r in wrong)}")
     n = faces.count()
     target = options.target(n)
     report = {"original": n, "final": n, "error": 0.0, "reached": n <= target, "groups": 0}
@@ -151,18 +155,22 @@ def decimate(vertices: DataFrame, faces: DataFrame, options: Options = Options()
 
         return one
 
-    spent = 0.0
-    if n >= options.grouped_from:
-        first = min(n, target + int(np.ceil((n - target) * options.reserve)))
-        side = max(1, round((n / options.group_faces) ** (1 / 3)))
-        placed = M.corners(faces, vertices, *extra)
-        cell = [F.least(F.lit(side - 1), F.floor((F.col(f"a_{p}") + F.col(f"b_{p}") + F.col(f"c_{p}") - 3 * box[f"min_{p}"]) / (3 * max(box[f"max_{p}"] - box[f"min_{p}"], 1e-30)) * side)).alias(f"g_{p}") for p in M.P]
-        parts = placed.select("*", *cell).groupBy(*(f"g_{p}" for p in M.P)).applyInPandas(run(lambda k: max(1, k * first / n), limit * options.group_error, True), schema)
-        parts = checkpointed(parts)
-        spent = parts.agg(F.max("error")).first()[0] or 0.0
+    spent, left, goal = 0.0, n, min(n, target + int(np.ceil((n - target) * options.reserve)))
+    while left >= options.grouped_from and left > target:
+        side = max(1, round((left / options.group_faces) ** 0.5))  # a surface meets about side * side of the grid's cells
+        moved = 0.5 * (report["groups"] % 2)
+        place = lambda p, side=side, moved=moved: F.floor((F.col(f"a_{p}") + F.col(f"b_{p}") + F.col(f"c_{p}") - 3 * box[f"min_{p}"]) / (3 * max(box[f"max_{p}"] - box[f"min_{p}"], 1e-30)) * side + moved)
+        placed = M.corners(faces, vertices, *extra).select("*", *(place(p).alias(f"g_{p}") for p in M.P))
+        parts = checkpointed(placed.groupBy(*(f"g_{p}" for p in M.P)).applyInPandas(run(lambda k, share=goal / left: max(1, k * share), (limit - spent) * options.group_error, True), schema))
+        spent += parts.agg(F.max("error")).first()[0] or 0.0
         faces = parts.select(F.monotonically_increasing_id().alias("fid"), "a", "b", "c")
-        report["groups"] = side**3
-    out = checkpointed(M.corners(faces, vertices, *extra).groupBy(F.lit(0).alias("all")).applyInPandas(run(lambda k: target, limit - spent, options.lock_boundaries), schema))
+        before, left, goal = left, parts.count(), target
+        report["groups"] += 1
+        if left > 0.98 * before:
+            break
+    out = faces.select("a", "b", "c", F.lit(spent).alias("error"))
+    if target < left < options.grouped_from:
+        out = checkpointed(M.corners(faces, vertices, *extra).groupBy(F.lit(0).alias("all")).applyInPandas(run(lambda k: target, limit - spent, options.lock_boundaries), schema))
     report["final"] = out.count()
     report["error"] = max(spent, out.agg(F.max("error")).first()[0] or 0.0)
     report["reached"] = report["final"] <= target

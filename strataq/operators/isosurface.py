@@ -275,17 +275,19 @@ def isosurface(cells: DataFrame, iso: float, value: str = "v", origin=(0.0, 0.0,
 
 
 def isosurface_of_levels(by_level: dict[int, DataFrame], iso: float, value: str = "v", geometry: dict[int, tuple] | None = None, steps: dict[int, tuple] | None = None,
-                         level_range: tuple[int, int] | None = None, samples: list[tuple[str, float, float]] = (), flip: bool = False) -> tuple[DataFrame, DataFrame]:
+                         level_range: tuple[int, int] | None = None, samples: list[tuple[str, float, float]] = (), flip: bool = False,
+                         cubes: DataFrame | None = None, ranges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Vertices (vid, level, px, py, pz, and a 16-bit code and value for each sample) and faces (level, a, b, c) of the surface
     over all selected levels; a coarse cube whose anchor lies under the next finer selected level has none.
 
     by_level: cells (level, x, y, z, value, samples' columns). geometry: by level, (origin, cell size). steps: by coarse level,
     (ratio, shift) to the next finer one. level_range: first and last level, both included. samples: two at most, as (column,
-    low, high), other than the value's own column twice."""
+    low, high), no column twice. cubes, ranges: all levels' complete cubes and chunk ranges, where they are known already."""
     validate(by_level, iso, level_range, samples)
     chosen = {k: c for k, c in sorted(by_level.items()) if level_range is None or level_range[0] <= k <= level_range[1]}
     named = {k: c.select("level", *XYZ, F.col(value).alias("v")) for k, c in chosen.items()}
-    active = checkpointed(active_cubes({k: complete(c) for k, c in named.items()}, named, iso, steps))
+    whole = {k: complete(c) if cubes is None else cubes.where(F.col("level") == k) for k, c in named.items()}
+    active = checkpointed(active_cubes(whole, named, iso, steps, ranges))
     vs, fs = None, None
     for k, cells in chosen.items():
         origin, size = (geometry or {}).get(k, ((0.0, 0.0, 0.0), (1.0, 1.0, 1.0)))

@@ -12,6 +12,7 @@ from strataq.operators import cells as C
 from strataq.functions.lineage import shared_path
 from strataq.operators import codec, decimate, isosurface, mesh, slices
 from strataq.plans import lattice as L
+from strataq.plans.volume import Volume
 from strataq.sources import archive, plot, plotfile, source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -482,6 +483,38 @@ def plotfile_converted(spark, sf_dir):
     return spark.read.parquet(path).select("level", "component", *XYZ, "cx", "cy", "cz", "v")
 
 
+E_BOTH = (E_CUBES, cubes_sql("ec", "eccubes"), "e_both AS (SELECT * FROM cubes UNION ALL SELECT * FROM eccubes WHERE (ax, ay, az) NOT IN (SELECT (x // 2, y // 2, z // 2) FROM ef))", edge_rows("e_both", E_ISO))
+
+
+@query(f"SELECT {VID} AS vid, level, {SIZED} FROM edges e", *E_BOTH)
+def volume_isosurface(spark, sf_dir):
+    """The edge vertices of a plotfile's surface over both levels, with the plotfile's own geometry."""
+    vertices, _ = Volume.load(written(spark, sf_dir), [0]).isosurface(0, E_ISO)
+    return doubles(vertices.where(F.col("vid").bitwiseAND(F.lit(3)) != isosurface.INTERIOR).select("vid", "level", "px", "py", "pz"), "px", "py", "pz")
+
+
+@query(f"SELECT {VID} AS vid, level FROM edges e WHERE level = 0", cubes_sql("ec", "eccubes"), edge_rows("eccubes", E_ISO))
+def volume_isosurface_of_one_level(spark, sf_dir):
+    """Levels beyond the range hide nothing."""
+    vertices, _ = Volume.load(written(spark, sf_dir), [0]).isosurface(0, E_ISO, level_range=(0, 0))
+    return vertices.where(F.col("vid").bitwiseAND(F.lit(3)) != isosurface.INTERIOR).select("vid", "level")
+
+
+@query(f"""SELECT {SLICE_CELL} * 4 + i AS vid, level, CAST((x + dx) * (2 - level) AS DOUBLE) AS px, CAST((y + dy) * (2 - level) AS DOUBLE) AS py, CAST(CAST(u0 AS FLOAT) AS DOUBLE) AS u, CAST(CAST(u1 AS FLOAT) AS DOUBLE) AS v
+FROM vs, (VALUES (0, 0, 0), (1, 0, 1), (2, 1, 1), (3, 1, 0)) AS q(i, dx, dy)""", """vs AS (SELECT level, x, y, z, greatest(0.0, least(1.0, v + 0.5)) AS u0, greatest(0.0, least(1.0, i / 100.0)) AS u1 FROM ep WHERE level = 1 AND z = 2
+UNION ALL SELECT a.level, a.x, a.y, a.z, greatest(0.0, least(1.0, coalesce(a.v + (b.v - a.v) * 0.25, a.v) + 0.5)), greatest(0.0, least(1.0, coalesce(a.i + (b.i - a.i) * 0.25, a.i) / 100.0))
+FROM ep a LEFT JOIN ep b ON b.level = 0 AND b.x = a.x AND b.y = a.y AND b.z = a.z - 1 WHERE a.level = 0 AND a.z = 1
+  AND (a.x, a.y) NOT IN (SELECT (x, y) FROM (SELECT DISTINCT x // 2 AS x, y // 2 AS y, x % 2 AS p, y % 2 AS q FROM ef WHERE z = 2) GROUP BY x, y HAVING count(*) = 4))""")
+def volume_slice(spark, sf_dir):
+    vertices, _ = Volume.load(written(spark, sf_dir)).slice("z", 2.5, [(0, -0.5, 0.5), (1, 0.0, 100.0)])
+    return doubles(vertices.select("vid", "level", "px", "py", "u", "v"), "px", "py", "u", "v")
+
+
+@query("SELECT level, cx, cy, cz, CAST(vmin AS DOUBLE) AS vmin, CAST(vmax AS DOUBLE) AS vmax FROM vr0 UNION ALL SELECT level, cx, cy, cz, CAST(vmin AS DOUBLE), CAST(vmax AS DOUBLE) FROM vr1", E_CUBES, cubes_sql("ec", "eccubes"), ranges_sql("ef", "cubes", "vr1"), ranges_sql("ec", "eccubes", "vr0"))
+def volume_ranges(spark, sf_dir):
+    return Volume.load(written(spark, sf_dir), [0]).ranges(0)
+
+
 # -- grids that change -------------------------------------------------------------------------------------------------
 
 

@@ -70,5 +70,9 @@ def test_archive(spark, tmp_path):
     view = archive.view(spark, str(tmp_path / "a"))
     assert archive.problems(view).isEmpty()
     assert all(r["vmax"] >= 66 for r in C.widened_ranges(view).where("component = 1 AND cx = 1").collect())
+    with pytest.raises(ValueError):
+        archive.read(spark, str(tmp_path / "a"), [2])
+    with pytest.raises(ValueError):
+        archive.transcode(spark, str(tmp_path / "a"), {0: C.Policy(scalar="f32")}, str(tmp_path / "c"))
     archive.transcode(spark, str(tmp_path / "a"), {1: C.Policy("quantized:u8", 1.0, scalar="f64")}, str(tmp_path / "b"))
     assert archive.view(spark, str(tmp_path / "b")).where("component = 1").select("codec_id").distinct().first()[0] in (1, 5)

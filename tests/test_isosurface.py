@@ -76,3 +76,37 @@ def test_empty_and_nan(spark):
     assert f.isEmpty()
     with pytest.raises(ValueError):
         I.isosurface(grid(spark, full(2, 2, 2)), float("nan"))
+
+
+def test_a_covered_coarse_level_shows_nothing(spark):
+    coarse = grid(spark, full(4, 4, 4, lambda x, y, z: float(x)), level=0)
+    fine = grid(spark, full(8, 8, 8, lambda x, y, z: x / 2), level=1)
+    sizes = {0: ((0.0,) * 3, (2.0,) * 3), 1: ((0.0,) * 3, (1.0,) * 3)}
+    v, f = I.isosurface_of_levels({0: coarse, 1: fine}, 1.2, geometry=sizes)
+    assert {r["level"] for r in f.collect()} == {1} and {r["level"] for r in v.collect()} == {1}
+    _, alone = I.isosurface_of_levels({0: coarse, 1: fine}, 1.2, geometry=sizes, level_range=(0, 0))
+    assert {r["level"] for r in alone.collect()} == {0}
+    half = fine.where("x < 4")
+    _, both = I.isosurface_of_levels({0: coarse, 1: half}, 1.2, geometry=sizes)
+    assert {r["level"] for r in both.collect()} == {1} and both.count() == f.count()
+    _, moved = I.isosurface_of_levels({0: coarse, 1: half}, 1.2, geometry=sizes, steps={0: ((2, 2, 2), (-8, 0, 0))})
+    assert {r["level"] for r in moved.collect()} == {0, 1}
+
+
+def test_samples_at_edges_and_inside_cubes(spark):
+    cells = grid(spark, {(x, y, z): float((x + y + z) % 2) for x in range(2) for y in range(2) for z in range(2)}).withColumn("q", F.col("x") * 10.0)
+    v, _ = I.isosurface_of_levels({0: cells}, 0.5, samples=[("q", 0.0, 10.0)])
+    for r in v.collect():
+        assert abs(r["u_q"] - (r["px"] - 0.5)) < 1e-4
+    cubes = I.complete(cells)
+    at = spark.createDataFrame([(0, 0, 0, 0)], "level int, x int, y int, z int")
+    got = I.interior_samples(at, cubes, cells, 0.3, 0.0, 10.0, "q").first()
+    w = [1 / (I.EPSILON + abs((x + y + z) % 2 - 0.3)) for x, y, z in I.G.CORNERS]
+    assert abs(got["u"] - sum(a * c[0] for a, c in zip(w, I.G.CORNERS)) / sum(w)) < 1e-4
+
+
+@pytest.mark.parametrize("bad", [{"iso": float("nan")}, {"level_range": (0, 1)}, {"samples": [("v", 1.0, 1.0)]}, {"samples": [("v", 0.0, 1.0)] * 2}, {"samples": [(n, 0.0, 1.0) for n in "abc"]}])
+def test_options_are_checked(spark, bad):
+    cells = grid(spark, full(2, 2, 2, lambda x, y, z: float(x)))
+    with pytest.raises(ValueError):
+        I.isosurface_of_levels({0: cells}, **{"iso": 0.5} | bad)

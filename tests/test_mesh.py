@@ -51,6 +51,9 @@ def test_weld_union_dedup_validate(spark):
     assert M.distinct_faces(f.unionByName(M.flip(f).withColumn("fid", F.col("fid") + 100))).count() == 8
     w, g = M.concat([(v, f), (v, f)])
     assert (w.count(), g.count()) == (18, 16) and M.validate(w, g).isEmpty()
+    one = (spark.createDataFrame([(0, 0.0, 0.0, 0.0)], "vid long, px float, py float, pz float"), spark.createDataFrame([(0, 0, 0, 0)], "fid long, a long, b long, c long"))
+    w, g = M.concat([one, one, one])
+    assert sorted(r["vid"] for r in w.collect()) == sorted(r["fid"] for r in g.collect()) == [0, 1, 2]
     with pytest.raises(Exception, match="differ"):
         M.weld(v.withColumn("k", F.lit(1)), ["k"]).collect()
     assert {r["rule"] for r in M.validate(v.where("vid > 0"), f).collect()} == {"face index"}
