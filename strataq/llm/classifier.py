@@ -3,7 +3,7 @@
 A logistic model on figures of the text is fitted to a bounded sample of labelled rows (MAX_LABELLED). Its probabilities are
 summed by host and by path; host rates are shrunk toward the global rate and path rates toward their host's, each with a
 beta prior whose weight is fitted to all groups. A document's posterior replaces the global rate in its log odds by its
-path's rate.
+path's rate, worked out without the document itself.
 """
 
 from __future__ import annotations
@@ -79,8 +79,9 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, f
 def train(figures: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED):
     """The model from figures (id, x) and labels (doc_id, quality); only `limit` rows reach the driver."""
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    some = figures.join(F.broadcast(known), figures.id == known.doc_id).select("id", "x", "quality").toPandas().sort_values("id")
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # so the broadcast is bounded
+    some = figures.join(F.broadcast(known), figures.id == known.doc_id).select("id", "x", "quality")
+    some = some.orderBy(F.xxhash64("id"), "id", F.xxhash64("x")).limit(limit).toPandas().sort_values("id")  # ids may repeat
     return fit(np.array(some["x"].tolist(), np.float64).reshape(len(some), len(FIGURES)), some["quality"].to_numpy(np.float64))
 
 
@@ -96,17 +97,17 @@ def weight_of(groups: DataFrame, rate: Column, toward: Column) -> float:
     return min(1e6, max(1.0, (m["noise"] or 0.0) / between - 1)) if between > 0 else 1e6
 
 
-def site_rates(scored: DataFrame) -> tuple[DataFrame, float]:
-    """host, path, host_rate, path_rate for each path of scored (host, path, p), and the global rate."""
+def site_rates(scored: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """host, path, host_n, host_s, path_n, path_s (rows and sums of p) for each path of scored (host, path, p); the global rate; the
+    weights of the hosts' prior and of the paths'."""
     paths = cut(scored.where("host IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     whole = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = whole["s"] / whole["n"] if whole["n"] else 1.0
-    k = weight_of(hosts, F.col("s") / F.col("n"), F.lit(mean))
-    hosts = hosts.select(F.col("host"), ((F.col("s") + k * mean) / (F.col("n") + k)).alias("host_rate"))
-    sites = paths.join(hosts, "host")
-    k = weight_of(sites, F.col("s") / F.col("n"), F.col("host_rate"))
-    return cut(sites.select("host", "path", "host_rate", ((F.col("s") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate")), "sites"), mean
+    k_host = weight_of(hosts, F.col("s") / F.col("n"), F.lit(mean))
+    sites = paths.join(hosts.withColumnsRenamed({"n": "host_n", "s": "host_s"}), "host")
+    k_path = weight_of(sites, F.col("s") / F.col("n"), (F.col("host_s") + k_host * mean) / (F.col("host_n") + k_host))
+    return cut(sites.withColumnsRenamed({"n": "path_n", "s": "path_s"}), "sites"), mean, k_host, k_path
 
 
 def scored(docs: DataFrame, labels: DataFrame, *keep: Column, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,9 +122,13 @@ def scored(docs: DataFrame, labels: DataFrame, *keep: Column, host: Column, path
     for i, w in enumerate(model[0]):
         score = score + F.lit(float(w)) * F.get("x", F.lit(i)).cast("double")
     rows = rows.select("*", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), score))))).alias("p")).drop("x")
-    sites, mean = site_rates(rows)
+    sites, mean, k_host, k_path = site_rates(rows)
     same = (rows.host == sites.host) & rows.path.eqNullSafe(sites.path)
     out = rows.join(sites, same, "left").drop(sites.host, sites.path).drop("host", "path")
+    # a row's own evidence isn't among its site's, as it counts by itself
+    out = out.withColumn("host_rate", (F.greatest(F.lit(0.0), F.col("host_s") - F.col("p")) + k_host * mean) / (F.col("host_n") - 1 + k_host))
+    out = out.withColumn("path_rate", (F.greatest(F.lit(0.0), F.col("path_s") - F.col("p")) + k_path * F.col("host_rate")) / (F.col("path_n") - 1 + k_path))
+    out = out.drop("host_n", "host_s", "path_n", "path_s")
     shift = F.coalesce(logit(F.col("path_rate")) - logit(F.lit(mean)), F.lit(0.0))
     out = out.withColumnRenamed("p", "p_doc").withColumn("posterior", 1 / (1 + F.exp(-(logit(F.col("p_doc")) + SITE_WEIGHT * shift))))
     return out.withColumn("kept", F.col("posterior") >= KEEP_FROM)
