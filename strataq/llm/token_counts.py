@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import looked_up
-from .wordbpe import ChunkEncoder, WordBpe
+from .wordbpe import NEWER, ChunkEncoder, WordBpe
 
 
 class ChunkCounter(ChunkEncoder):
@@ -36,17 +37,19 @@ def counter(path: str) -> ChunkCounter:
 
 @dataclass
 class PrefixCounts:
-    """The chunks of one text and the exact token count before each of them and at the end."""
+    """The exact token counts of all prefixes of one text: before each of its chunks and at the end, and, once for each chunk that
+    a question falls into, after each of its characters. No question encodes a text again."""
 
     chunks: list[str]
     before: np.ndarray
     source: ChunkCounter
+    stored: dict[int, np.ndarray]
 
     @classmethod
     def of(cls, text: str, source: ChunkCounter) -> PrefixCounts:
         numbers = source.look(text)
         source.encode_fresh()
-        return cls(source.bpe.chunks(text), np.r_[0, np.cumsum(source.count[numbers])].astype(np.int64), source)
+        return cls(source.bpe.chunks(text), np.r_[0, np.cumsum(source.count[numbers])].astype(np.int64), source, {})
 
     def total(self) -> int:
         return int(self.before[-1])
@@ -55,23 +58,44 @@ class PrefixCounts:
         """How many whole chunks from the start fit in a budget of tokens."""
         return int(np.searchsorted(self.before, budget, side="right")) - 1
 
+    def counts(self, chunk: int) -> np.ndarray:
+        """The token counts of the text up to 0, 1, ... characters of a chunk."""
+        if chunk not in self.stored:
+            own = inner_counts(self.source.bpe, self.chunks[chunk])
+            own[-1] = self.before[chunk + 1] - self.before[chunk]  # a special string is one token, and only as a whole
+            self.stored[chunk] = self.before[chunk] + own
+        return self.stored[chunk]
+
     def inside(self, chunk: int, chars: int) -> int:
         """The token count of the text that ends after `chars` characters of a chunk."""
-        bpe = self.source.bpe
-        if self.chunks[chunk] in bpe.special and chars == len(self.chunks[chunk]):
-            return int(self.before[chunk]) + 1
-        symbols, sizes, _ = bpe.words([self.chunks[chunk][:chars]])
-        if not len(sizes):
-            return int(self.before[chunk])
-        counts = bpe.count_prefixes(symbols, sizes)
-        return int(self.before[chunk] + counts[np.cumsum(sizes) - 1].sum())
+        return int(self.counts(chunk)[chars])
 
     def longest(self, budget: int) -> tuple[int, int]:
         """(whole chunks, characters of the next) of the longest prefix whose count is within the budget."""
         k = self.within(budget)
         if k == len(self.chunks):
             return k, 0
-        return k, max(i for i in range(len(self.chunks[k]) + 1) if not i or self.inside(k, i) <= budget)
+        return k, int(np.flatnonzero(self.counts(k) <= budget)[-1])
+
+
+def inner_counts(bpe: WordBpe, chunk: str) -> np.ndarray:
+    """The token counts of a chunk's first 0, 1, ... characters, by dynamic programming over prefixes.
+
+    Where the words of a prefix may differ from the beginnings of the whole chunk's words (at apostrophes, which may open a
+    contraction, and at characters that combine or that the library cuts), the prefixes are counted as words of their own."""
+    simple = "'" not in chunk and all(len(c.lower()) == 1 and unicodedata.combining(c) == 0 and unicodedata.is_normalized("NFC", c) for c in chunk)
+    if not simple or not unicodedata.is_normalized("NFC", chunk) or NEWER.search(chunk):
+        symbols, sizes, owner = bpe.words([chunk[:i] for i in range(1, len(chunk) + 1)])
+        by_word = bpe.count_prefixes(symbols, sizes)[np.cumsum(sizes) - 1] if len(sizes) else np.zeros(0)
+        return np.r_[0, np.bincount(owner, by_word, len(chunk)).astype(np.int64)]
+    symbols, sizes, _ = bpe.words([chunk])
+    counts = bpe.finished_prefixes(symbols, sizes)
+    if not len(sizes):
+        return np.zeros(len(chunk) + 1, np.int64)
+    whole = counts[np.cumsum(sizes) - 1]
+    counts = counts + np.repeat(np.cumsum(whole) - whole, sizes)
+    ends = np.cumsum([len(c.lower().replace("Σ", "σ").encode()) for c in chunk])
+    return np.r_[0, counts[ends - 1]]
 
 
 def count_tokens(df: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -84,6 +84,12 @@ class WordBpe:
             if n == 1 and ids[at] == i:
                 self.greedy.add_word(self.strings[i], i)
         self.greedy.make_automaton()
+        # the proposed tokens that close a word, as if they stood inside one
+        self.closers = ahocorasick.Automaton()
+        for i in self.greedy.values():
+            if ord(self.strings[i][-1]) >= 256:
+                self.closers.add_word(self.strings[i][:-1] + chr(ord(self.strings[i][-1]) - 256), i)
+        self.closers.make_automaton()
 
     # -- text to words -------------------------------------------------------------------------------------------
 
@@ -242,16 +248,22 @@ class WordBpe:
         The last token of a prefix is the one token ending there that fits the last token of the prefix before it; so one
         token of the prefix's encoding is known at each symbol, and its count is one more than that of the prefix before.
         All words advance together, symbol by symbol. Inside a word a prefix is counted as unfinished (its last symbol
-        doesn't close a word); closed_count() has the other count.
+        doesn't close a word); finished_prefixes() has the other counts.
         """
+        return self.prefixes(symbols, sizes)[0]
+
+    def prefixes(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The counts of count_prefixes() and the last token of each prefix."""
         n = len(symbols)
         count = np.zeros(n, np.int64)
         if not n:
-            return count
+            return count, count
         found = self.greedy.iter(symbols.tobytes().decode("utf-16-le"))
         ends, token = np.fromiter(chain.from_iterable(found), np.int64).reshape(-1, 2).T
         starts = ends - self.lengths[token] + 1
         first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        inside = starts >= first[ends]
+        ends, token, starts = ends[inside], token[inside], starts[inside]
         depth = np.arange(n) - first  # of each symbol in its word
         last = np.full(n, -1, np.int64)
         head = starts == first[ends]
@@ -265,13 +277,27 @@ class WordBpe:
             pair, where = np.unique(before << 20 | token[at], return_inverse=True)
             at = at[self.compatible(pair >> 20, pair & ((1 << 20) - 1))[where]]
             last[ends[at]], count[ends[at]] = token[at], count[starts[at] - 1] + 1
-        return count
+        return count, last
 
-    def closed_count(self, symbols: np.ndarray, k: int) -> int:
-        """The token count of a word's first k symbols taken as a word of their own."""
-        part = symbols[:k] % 256
-        part[-1] += 256
-        return int(self.count_prefixes(part, np.array([k]))[-1])
+    def finished_prefixes(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """At each symbol of each word, the exact number of tokens of the word's prefix up to and with it, taken as a whole word:
+        its last token is the closing one that ends there and fits the last token of the unfinished prefix before it."""
+        n = len(symbols)
+        out = np.zeros(n, np.int64)
+        if not n:
+            return out
+        symbols = symbols % 256
+        count, last = self.prefixes(symbols, sizes)
+        found = self.closers.iter(symbols.astype(np.uint16).tobytes().decode("utf-16-le"))
+        ends, token = np.fromiter(chain.from_iterable(found), np.int64).reshape(-1, 2).T
+        starts, first = ends - self.lengths[token] + 1, np.repeat(np.cumsum(sizes) - sizes, sizes)
+        head = starts == first[ends]
+        rest = np.flatnonzero(starts > first[ends])
+        pair, where = np.unique(last[starts[rest] - 1] << 20 | token[rest], return_inverse=True)
+        rest = rest[self.compatible(pair >> 20, pair & ((1 << 20) - 1))[where]]
+        out[ends[rest]] = count[starts[rest] - 1] + 1
+        out[ends[head]] = 1
+        return out
 
 
 def pack(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -301,10 +327,11 @@ class Chunks(dict):
 
 
 class ChunkEncoder:
-    """Encodes texts chunk by chunk and remembers chunks, at most about `limit` of them; then it starts anew."""
+    """Encodes texts chunk by chunk and remembers chunks, at most about `limit` of them and `room` bytes of chunks and tokens;
+    then it starts anew."""
 
-    def __init__(self, bpe: WordBpe, limit: int = 1_000_000):
-        self.bpe, self.limit = bpe, limit
+    def __init__(self, bpe: WordBpe, limit: int = 1_000_000, room: int = 128 << 20):
+        self.bpe, self.limit, self.room = bpe, limit, room
         self.reset()
 
     def reset(self) -> None:
@@ -312,7 +339,7 @@ class ChunkEncoder:
         self.ids = np.zeros(1 << 16, np.int32)
         self.start = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int32)
-        self.used = 0
+        self.used = self.chars = 0
         self.texts: list[str] = []  # chunk by number, for callers that keep more for each chunk
 
     def look(self, text: str) -> np.ndarray:
@@ -321,7 +348,7 @@ class ChunkEncoder:
         return np.fromiter(map(self.known.__getitem__, c), np.int32, len(c))
 
     def full(self) -> bool:
-        return len(self.known) > self.limit
+        return len(self.known) > self.limit or self.chars + 4 * self.used > self.room
 
     def encode_fresh(self) -> range:
         """Encodes what look() has met; the numbers of those chunks."""
@@ -340,6 +367,7 @@ class ChunkEncoder:
             self.start[k : k + len(part)] = self.used + np.cumsum(counts) - counts
             self.used += n
         self.texts += fresh
+        self.chars += sum(map(len, fresh))
         return range(first, first + len(fresh))
 
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:

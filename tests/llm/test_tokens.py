@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strataq.llm import bpe, packing, token_counts
-from strataq.llm.wordbpe import encoder, pack
+from strataq.llm.wordbpe import ChunkEncoder, encoder, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", " \t\n", "It's THE don't  we'll x", "é é ΑΣ ς İ ﬁ", "a<|endoftext|>b<|ENDOFTEXT|> <|startoftext|>", "12 ½ ² Ⅷ", "\x1ca\x1f b\x85c　d", "漢字かな 😀😀 ԱՍ", "!" * 300, "ab" * 300 + "é", "aaaaaaa" * 50, "x " * 5000]
@@ -64,7 +64,7 @@ def test_only_failing_words_are_merged_and_long_ones_by_heap():
 
 def test_every_prefix_is_counted(library):
     c = token_counts.counter(PATH)
-    for text in ("the thanonontion's reading, of!! 12 éé", "unbelievable<|endoftext|>x", "don't"):
+    for text in ("the thanonontion's reading, of!! 12 éé", "unbelievable<|endoftext|>x", "don't", "straße,Ünïcode--naïveté...2024x e\u0301a \u03a3\u03c3a " + "ab1c" * 40):
         p = token_counts.PrefixCounts.of(text, c)
         assert p.total() == len(library.encode(text, add_special_tokens=False).ids)
         done = 0
@@ -79,7 +79,17 @@ def test_every_prefix_is_counted(library):
             assert p.before[k] <= budget and (k == len(p.chunks) or p.inside(k, i) <= budget)
     b = c.bpe
     symbols, sizes, _ = b.words(["thanonontion"])
-    assert [b.closed_count(symbols, k) for k in range(1, 13)] == [len(library.encode("thanonontion"[:k], add_special_tokens=False).ids) for k in range(1, 13)]
+    assert b.finished_prefixes(symbols, sizes).tolist() == [len(library.encode("thanonontion"[:k], add_special_tokens=False).ids) for k in range(1, 13)]
+
+
+def test_encoders_forget_by_bytes():
+    enc = ChunkEncoder(token_counts.counter(PATH).bpe, room=10_000)
+    for k in range(3):
+        enc.look(" ".join(f"{k}x{i}" + "y" * 500 for i in range(30)))
+        enc.encode_fresh()
+        assert enc.full()
+        enc.reset()
+        assert not enc.full()
 
 
 def docs(spark):
