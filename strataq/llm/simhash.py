@@ -151,11 +151,9 @@ def classes(rows: DataFrame) -> DataFrame:
     """rows (id, fp, ...) with component_id."""
     vertices = cut(rows.groupBy("fp").agg(F.min("id").alias("first")), "vertices")
     roots = components(links(vertices))
-    least = vertices.join(roots, vertices.fp == roots.v, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    linked = least.where("fp <> root").select("root").distinct()
-    some = least.join(linked, "root", "left_semi")  # only vertices of components with two or more
-    by_root = some.groupBy("root").agg(F.min("first").alias("least"))
-    named = least.join(by_root, "root", "left").select(F.col("fp"), F.coalesce("least", "first").alias("component_id"))
+    linked = cut(vertices.join(roots, vertices.fp == roots.v).select("fp", "first", "root"), "linked")  # only vertices with links
+    by_root = cut(linked.groupBy("root").agg(F.min("first").alias("least")), "least")
+    named = vertices.join(linked.join(by_root, "root").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     return rows.join(cut(named, "classes"), "fp")
 
 
