@@ -3,8 +3,8 @@
 Fast Hadamard pseudo-rotations turn unit vectors; a table's hash is the nearest signed axis. Queries probe several axes of
 each table, nearest first, and candidates are ranked exactly on the original vectors.
 
-How many axes are probed is fitted: a bounded sample of queries is searched by brute force, and the fewest probes are taken
-that find FIT_RECALL of their neighbours. Every row is indexed, in all tables; no bucket is capped, as crowded buckets are
+How many tables are used and how many axes of each are probed is fitted: a bounded sample of queries is searched by brute force,
+and the fewest lookups are taken that find FIT_RECALL of their neighbours. Every row is indexed, in all tables used; no bucket is capped, as crowded buckets are
 searched in blocks of rows times blocks of queries.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: So many tables at most.
 TABLES, SEED = 6, 20
 #: Queries (those of the least hashes) whose neighbours are searched by brute force to fit the number of probes.
 FIT_QUERIES, FIT_RECALL = 64, 0.96
@@ -95,11 +96,12 @@ def hashed(vectors: DataFrame, rotations: Rotations, probes: int) -> DataFrame:
     return vectors.select("rep", "vec").mapInArrow(run, f"tab int, axis int, rep long, vec {kind}")
 
 
-def fit_probes(vectors: DataFrame, queries: DataFrame, rotations: Rotations, k: int) -> int:
-    """The fewest probes with which the sample's true neighbours are found at FIT_RECALL; all axes find every row."""
+def fit_probes(vectors: DataFrame, queries: DataFrame, rotations: Rotations, k: int) -> tuple[int, int]:
+    """How many tables and probes of each find the sample's true neighbours at FIT_RECALL with the fewest lookups in all (ties: the
+    fewest tables); all axes of one table find every row."""
     sample = queries.orderBy(F.xxhash64("rep"), "rep").limit(FIT_QUERIES).select("rep", "vec").toPandas()
     if not len(sample):
-        return 1
+        return 1, 1
     ids, q = sample["rep"].to_numpy(), np.array(sample["vec"].tolist(), np.float64)
     dim = rotations.dim
 
@@ -112,15 +114,17 @@ def fit_probes(vectors: DataFrame, queries: DataFrame, rotations: Rotations, k:
     kind = vectors.schema["vec"].dataType.simpleString()
     true = top(vectors.select("rep", "vec").mapInArrow(run, f"q long, rep long, score double, vec {kind}").where("q <> rep"), k, "q").toPandas()
     if not len(true):
-        return 1
+        return 1, 1
     x = unit(np.array(true["vec"].tolist(), np.float64))
     of = pd.Series(np.arange(len(ids)), ids)[true["q"]].to_numpy()
-    rank = np.full(len(x), 2 * rotations.width)
+    rank, ways = np.full(len(x), 2 * rotations.width), []
     for t in range(len(rotations.signs)):
         mine, theirs = rotations(unit(q), t), rotations(x, t).argmax(1)
         value = mine[of, theirs]
         rank = np.minimum(rank, (mine[of] > value[:, None]).sum(1) + 1)
-    return int(np.sort(rank)[max(0, int(np.ceil(FIT_RECALL * len(rank))) - 1)])
+        ways.append((int(np.sort(rank)[max(0, int(np.ceil(FIT_RECALL * len(rank))) - 1)]), t + 1))
+    probes, tables = min(ways, key=lambda w: (w[0] * w[1], w[1]))
+    return tables, probes
 
 
 def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", probes: int | None = None) -> DataFrame:
@@ -144,7 +148,9 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     who = cut(asking.join(vectors.select("vec", "rep"), "vec").select("id", "rep"), "queries")
     queries = cut(vectors.join(who.select("rep").distinct(), "rep", "left_semi"), "query-vectors")
     rotations = Rotations(dim)
-    probes = probes or fit_probes(vectors, queries, rotations, k)
+    if probes is None:
+        tables, probes = fit_probes(vectors, queries, rotations, k)
+        rotations.signs = rotations.signs[:tables]
 
     index, asked = hashed(vectors, rotations, 1), hashed(queries, rotations, probes)
     count = lambda x, n: x.groupBy("tab", "axis").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))
