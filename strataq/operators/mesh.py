@@ -96,6 +96,8 @@ def relax(vertices: DataFrame, faces: DataFrame, iterations: int = 3, shrink: fl
         raise ValueError("options out of range")
     if not faces.where(degenerate()).isEmpty():
         raise ValueError("a face repeats a vertex")
+    if not faces.select(F.explode(F.array("a", "b", "c")).alias("vid")).join(vertices, "vid", "left_anti").isEmpty():
+        raise ValueError("a face names a vertex that isn't there")
     count = edges(faces).cache()
     adjacent, fixed, means = adjacency(count), locked(count, lock_boundaries), mean_edge_lengths(count, vertices).cache()
     for _ in range(iterations):

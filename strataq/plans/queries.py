@@ -473,7 +473,8 @@ def plotfile_levels(spark, sf_dir):
 @query("SELECT CAST(0 AS DOUBLE) AS time, 1 AS finest_level, CAST(32 AS DOUBLE) AS hi_x, CAST(4 * (1 + (SELECT max(vec_id // 64) FROM embeddings)) AS DOUBLE) AS hi_z, 0 AS coord_sys, component, name FROM (VALUES (0, 'density'), (1, 'number')) AS k(component, name)")
 def plotfile_header(spark, sf_dir):
     p = written(spark, sf_dir)
-    return p.plot_header().select("time", "finest_level", "hi_x", "hi_z", "coord_sys").join(F.broadcast(p.variables()))
+    h = p.plot_header().first()
+    return p.variables().select(*(F.lit(h[n]).alias(n) for n in ("time", "finest_level", "hi_x", "hi_z", "coord_sys")), "component", "name")
 
 
 @query("SELECT level, component, x, y, z, x >> 5 AS cx, y >> 5 AS cy, z >> 5 AS cz, CASE WHEN component = 0 THEN CAST(CAST(v AS FLOAT) AS DOUBLE) ELSE i END AS v FROM ep, (VALUES (0), (1)) AS k(component)")
@@ -515,6 +516,13 @@ def volume_ranges(spark, sf_dir):
     return Volume.load(written(spark, sf_dir), [0]).ranges(0)
 
 
+@query("""SELECT 2 AS levels, 2 AS components, CAST((SELECT count(*) FROM pr) AS INT) AS patches, CAST((SELECT 2 * count(*) FROM pr) AS INT) AS component_patches, (SELECT count(*) FROM ep) AS samples,
+(SELECT count(*) FROM (SELECT DISTINCT level, x >> 5, y >> 5, z >> 5 FROM ep)) AS chunks, count(*) AS cube_chunks, 2 * count(*) AS ranges
+FROM (SELECT DISTINCT level, ax >> 5, ay >> 5, az >> 5 FROM (SELECT * FROM cubes UNION ALL SELECT * FROM eccubes))""", RANKED, E_CUBES, cubes_sql("ec", "eccubes"))
+def volume_work_counts(spark, sf_dir):
+    return Volume.load(written(spark, sf_dir)).work_counts()
+
+
 # -- grids that change -------------------------------------------------------------------------------------------------
 
 

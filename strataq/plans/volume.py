@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataq.functions import grid as G
 from strataq.functions.lineage import checkpointed
 from strataq.operators import cells as C
 from strataq.operators import isosurface, slices
@@ -27,9 +28,12 @@ class Volume:
     derived: dict[tuple[str, int], DataFrame] = field(default_factory=dict)
 
     @classmethod
-    def load(cls, plot: AmrPlot, components: list[int] | None = None, levels: list[int] | None = None) -> Volume:
+    def load(cls, plot: AmrPlot, components: list[int] | None = None, levels: list[int] | None = None, double: tuple[int, ...] = ()) -> Volume:
+        """Values are kept as floats (those of components in `double` as doubles), 0 where they aren't finite then."""
         chosen = resolve(components, len(plot.header.variables))
-        long = plot.cells(chosen, levels)
+        wide_kind = F.col("component").isin(list(double)) if double else F.lit(False)
+        value = F.when(wide_kind, G.sanitised(F.col("v"), False)).otherwise(G.sanitised(F.col("v")).cast("double"))
+        long = plot.cells(chosen, levels).withColumn("v", value)
         of = lambda c: F.max_by(F.when(F.col("component") == c, F.col("v")), F.when(F.col("component") == c, F.col("patch_id"))).alias(f"c{c}")
         wide = checkpointed(long.groupBy("level", *C.XYZ).agg(*(of(c) for c in chosen)))
         there = range(len(plot.header.levels)) if levels is None else sorted(levels)
@@ -57,6 +61,18 @@ class Volume:
             self.derived[what, component] = checkpointed(make())
         return self.derived[what, component]
 
+    def work_counts(self) -> DataFrame:
+        """One row: levels, components, patches, component_patches, samples, chunks, cube_chunks (with a complete cube's anchor) and
+        ranges (one for each component and such a chunk)."""
+        first = self.components[0]
+        patches = sum(self.plot.header.levels[k].patches for k in self.cells)
+        key = F.struct("level", *G.chunk_key())
+        total = self.whole(first).agg(F.count("*").alias("samples"), F.countDistinct(key).alias("chunks"))
+        ranges = _union([self.ranges(c) for c in self.components])
+        held = ranges.agg(F.countDistinct("level", "cx", "cy", "cz").alias("cube_chunks"), F.count("*").alias("ranges")).first()
+        fixed = [F.lit(n).alias(name) for n, name in ((len(self.cells), "levels"), (len(self.components), "components"), (patches, "patches"), (patches * len(self.components), "component_patches"))]
+        return total.select(*fixed, "samples", "chunks", *(F.lit(held[n]).cast("long").alias(n) for n in ("cube_chunks", "ranges")))
+
     def geometry(self, level: int) -> tuple:
         """Physical origin, cell size and extent of a level's own index space."""
         h = self.plot.header

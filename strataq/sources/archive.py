@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.operators import codec as C
+from strataq.operators.cells import chunk_ranges
 
 
 def write(cells: DataFrame, policies: dict[int, C.Policy], path: str, in_domain: bool = False) -> DataFrame:
@@ -13,6 +14,8 @@ def write(cells: DataFrame, policies: dict[int, C.Policy], path: str, in_domain:
     stored without loss in the type of v. All components that are there get a row of the component table."""
     kind = "f32" if cells.schema["v"].dataType.simpleString() == "float" else "f64"
     there = [r[0] for r in cells.select("component").distinct().collect()]  # as many rows as there are components
+    if absent := set(policies) - set(there):
+        raise ValueError(f"policies for components {sorted(absent)}, of which there are no cells")
     policies = {c: C.Policy(scalar=kind) for c in there} | policies
     chunks = C.encode(cells, policies, in_domain=in_domain)
     chunks.sortWithinPartitions("level", "component", "cx", "cy", "cz").write.partitionBy("level", "component").parquet(f"{path}/chunks")
@@ -50,6 +53,11 @@ def policies_of(spark: SparkSession, path: str) -> dict[int, C.Policy]:
     return {r["component"]: C.Policy(r["select"], r["absolute"], r["relative"], r["scalar"], None if r["low"] is None else (r["low"], r["high"])) for r in rows}
 
 
+def ranges(spark: SparkSession, path: str, component: int) -> DataFrame:
+    """The chunk ranges, halo included, of a component's decoded cells."""
+    return chunk_ranges(read(spark, path, [component]))
+
+
 def transcode(spark: SparkSession, path: str, policies: dict[int, C.Policy], target: str) -> DataFrame:
     """Decodes, works out ranges again and encodes under other policies, without loss where none is given. Scalar types and the
     bounds of normalised components stay, and values are never normalised twice."""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import os
 import time
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,6 +108,17 @@ class AmrPlot:
             raise ValueError(f"no variables {unknown}")
         return self.cells([self.component(n) for n in names], levels)
 
+    def raw(self, level: int, patch_id: int, component: int) -> bytes:
+        """One component's values of a patch as they lie in the file, ghost cells included."""
+        patch = self.cell_header(level).patches[patch_id]
+        folder = os.path.dirname(os.path.join(self.path, self.header.levels[level].path))
+        with open(os.path.join(folder, patch.file), "rb") as f:
+            f.seek(patch.offset)
+            head = P.parse_fab(f.read(P.MOST_HEADER_BYTES))
+            n = math.prod(head.box.shape) * np.dtype(head.dtype).itemsize
+            f.seek(patch.offset + head.bytes + component * n)
+            return f.read(n)
+
     def describe(self) -> DataFrame:
         return self.levels().select("level", "nx", "ny", "nz", "n_patches", "step", "time")
 

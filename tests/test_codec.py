@@ -72,6 +72,9 @@ def test_archive(spark, tmp_path):
     assert all(r["vmax"] >= 66 for r in C.widened_ranges(view).where("component = 1 AND cx = 1").collect())
     with pytest.raises(ValueError):
         archive.read(spark, str(tmp_path / "a"), [2])
+    with pytest.raises(ValueError):
+        archive.write(cells, {7: C.Policy()}, str(tmp_path / "d"))
+    assert {(r["cx"], r["vmin"], r["vmax"]) for r in archive.ranges(spark, str(tmp_path / "a"), 0).collect()} == {(0, 0.0, 32.002), (1, 32.0, 33.002)}
     with pytest.raises(ValueError):
         archive.transcode(spark, str(tmp_path / "a"), {0: C.Policy(scalar="f32")}, str(tmp_path / "c"))
     archive.transcode(spark, str(tmp_path / "a"), {1: C.Policy("quantized:u8", 1.0, scalar="f64")}, str(tmp_path / "b"))

@@ -21,6 +21,7 @@ def test_one_cube(spark, tmp_path, dtype):
     assert got == {(i % 2, i // 2 % 2, i // 4): float(i) for i in range(8)}
     assert plot.component("density") == 0 and plot.component("Density") is None
     assert plot.patch_bounds().first()[3:] == (0.0, 7.0)
+    assert np.frombuffer(plot.raw(0, 0, 0), dtype).tolist() == list(range(8))
     plot.validate_all()
     report = convert(plot, str(tmp_path / "out"))
     assert report.pop("seconds") > 0
