@@ -129,11 +129,14 @@ def keyed(fps: DataFrame, asking: bool) -> DataFrame:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """a < b (each pair once): all pairs of the distinct fingerprints in fps that differ in MAX_BITS bits or fewer."""
+    """a < b (each pair once): all pairs of the distinct fingerprints in fps that differ in MAX_BITS bits or fewer.
+
+    Spark takes either side to be as small as fps, though it has 11 or 60 rows for each, and would broadcast it through the
+    driver; the hint has both shuffled."""
     stored = keyed(fps, False).select(F.col("fp").alias("a"), "key")
     asked = keyed(fps, True).select(F.col("fp").alias("b"), "key")
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
-    return stored.join(asked, "key").where(close).select("a", "b").distinct()
+    return stored.hint("merge").join(asked.hint("merge"), "key").where(close).select("a", "b").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

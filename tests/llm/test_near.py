@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataq.llm import ann, jaccard, line_dedup, simhash
+from strataq.llm.common import cut
 from strataq.llm.components import components
 
 
@@ -153,6 +154,12 @@ def test_links_against_brute_force(spark):
     assert got == want and len(want) > 100
 
 
+def test_links_send_no_keys_through_the_driver(spark):
+    fps = cut(spark.range(2000).select(F.xxhash64("id").alias("fp")))
+    plan = simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, i) for i in range(1001, 1100)] + [(5, 5), (2000, 2001), (2001, 2002), (2002, 2000), (2000, 2001)]
     got = {r["v"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
