@@ -12,6 +12,7 @@ codewords of all three. One side of the join looks up own codewords, the other k
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import combinations, permutations
 
 import numpy as np
@@ -31,15 +32,18 @@ GENERATOR = 0b110001110101
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
 
-def fingerprint(text: str, size: int = SHINGLE) -> int:
-    """The text's SimHash as a signed 64-bit integer; a text without words has 0."""
-    parts = list(shingle_hashes(text, size))
-    if not parts:
-        return 0
-    set_bits = np.zeros(64, np.int64)
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The SimHash of hashes, in pieces, as a signed 64-bit integer; of none 0."""
+    set_bits, n = np.zeros(64, np.int64), 0
     for h in parts:
+        n += len(h)
         set_bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * set_bits > sum(map(len, parts)), bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * set_bits > n, bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str, size: int = SHINGLE) -> int:
+    """The text's SimHash; a text without words has 0."""
+    return majority(shingle_hashes(text, size))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,9 +168,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row of each group of near copies, with the columns of docs: the one of the least id (a null one only if there is no
     other; of several the first read).
 
-    Near copies share 0.8 or more of their 5-word shingles (jaccard.py); the three words and bits of this module bind the
-    query alone. A row is known by a key of its own here, so rows of one id or of a null id are separate documents."""
+    Near copies share 0.8 or more of their 5-word shingles. The sets' fingerprints within MAX_BITS bits, found by the Golay
+    keys above, are linked first if that holds; what three bits can't reach is found by MinHash bands (jaccard.py). A row is
+    known by a key of its own here, so rows of one id or of a null id are separate documents."""
     rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    named = jaccard.groups(rows, "__row", text_col).withColumnRenamed("row", "__row").join(rows.select("__row", F.col(id_col).alias("id")), "__row")
+    named = jaccard.groups(rows, "__row", text_col, majority, links).withColumnRenamed("row", "__row").join(rows.select("__row", F.col(id_col).alias("id")), "__row")
     stays = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("s")).select("s.__row")
     return rows.join(cut(stays, "stays"), "__row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -222,6 +222,36 @@ def test_stage_keeps_one_of_near_copies_by_jaccard(spark, monkeypatch):
     assert len(far) > 20 and len(set(root)) < len(texts) - 20
 
 
+def test_stage_links_by_fingerprints_first(spark, monkeypatch):
+    """Without the MinHash bands the Golay keys alone still link copies within three bits, each verified."""
+    rng, texts = random.Random(4), []
+    for _ in range(20):
+        w = [f"w{rng.randint(0, 5000)}" for _ in range(600)]
+        texts += [" ".join(w), " ".join([*w, "end"]), " ".join(["x", *w[1:]])]
+    prints = [simhash.fingerprint(t, 5) & (2**64 - 1) for t in texts]
+    near = [(a, b) for a, b in combinations(range(len(texts)), 2) if a // 3 == b // 3 and (prints[a] ^ prints[b]).bit_count() <= 3]
+    root = list(range(len(texts)))
+    for _ in range(3):
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    calls, link = [], getattr(jaccard, "link", None)
+    monkeypatch.setattr(jaccard, "link", lambda *a: calls.append(1) or (link(*a) if len(calls) == 1 else None), raising=False)
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+    assert len(calls) == 2 and len(near) > 30
+
+
+def test_stage_makes_no_squares_of_a_crowd_that_is_a_little_unlike(spark, monkeypatch):
+    """400 texts that share 0.66 of their shingles, one by one, and ten that are near copies of one of them."""
+    texts = [" ".join([*(f"c{j}" for j in range(100)), *(f"o{i}-{j}" for j in range(25))]) for i in range(400)]
+    texts += [f"{texts[7]} more{i}" for i in range(10)]
+    made, verified = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *a: (made.append(pairs.count()), verified(pairs, *a))[1])
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(400))
+    assert sum(made) < 20 * len(texts)
+
+
 def test_stage_takes_rows_of_one_id_as_separate_documents(spark):
     rows = [(None, f"one two three four five six {i}") for i in range(3)] + [(1, "clean text about rivers and lakes"), (1, "other text about roads and bridges")]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
