@@ -29,7 +29,7 @@ UNLIKE = 42
 #: Sets of so many shingles are compared inside the join.
 SMALL = 256
 #: Under a key with more vertices than CROWD each meets one of them in each of so many rounds, before those left unlinked meet.
-CROWD, ROUNDS = 32, 4
+CROWD, ROUNDS = 32, 2
 
 
 def shingle_hashes(text: str, size: int) -> Iterator[np.ndarray]:
@@ -119,7 +119,7 @@ def sets_of(some: DataFrame, vertices: DataFrame, rows: DataFrame, row_col: str,
     return cut(texts.select(F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(load, "v long, shingles binary"), "sets")
 
 
-def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of pairs (a, b: vertices) whose sets are similar enough."""
 
     def compare(batches):
@@ -131,7 +131,7 @@ def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> Dat
                 good.append(both * LEAST[1] >= (len(x) + len(y) - both) * LEAST[0])
             yield pa.record_batch([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    sets = sets_of(pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct())
+    sets = sets.join(pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct(), "v", "left_semi")
     met = pairs.join(sets.select(F.col("v").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("v").alias("b"), F.col("shingles").alias("y")), "b")
     return cut(met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
 
@@ -170,14 +170,14 @@ def renamed(df: DataFrame) -> DataFrame:
 class Links:
     """The pairs (a < b: vertices) verified so far, those among them that are similar enough, and the components these make."""
 
-    def __init__(self, sets_of: Callable[[DataFrame], DataFrame]):
-        self.sets_of, self.tried, self.found, self.roots = sets_of, None, None, None
+    def __init__(self, sets: DataFrame):
+        self.sets, self.tried, self.found, self.roots = sets, None, None, None
 
     def check(self, pairs: DataFrame) -> None:
         pairs = cut(pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             return
-        good = verified(pairs, self.sets_of)
+        good = verified(pairs, self.sets)
         self.tried, self.found = (pairs, good) if self.tried is None else (self.tried.union(pairs), self.found.union(good))
         self.roots = components(self.found)
 
@@ -188,14 +188,19 @@ class Links:
         return members.join(self.roots.withColumnRenamed("root", "label"), "v", "left").withColumn("label", F.coalesce("label", "v"))
 
 
+def shared(keyed: DataFrame) -> DataFrame:
+    """The rows of keyed (key, v) whose key has others, with their number (size)."""
+    several = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    return cut(keyed.join(several, "key"), "shared")
+
+
 def link(links: Links, keyed: DataFrame, vertices: DataFrame) -> None:
-    """Verifies pairs of vertices (v, n, sketch) under one key of keyed (key, v) till each pair left out lies within one component.
+    """Verifies pairs of vertices (v, n, sketch) under one key of keyed (key, v, size) till each pair left out lies within one component.
 
     First each vertex meets one of its key, under keys of more than CROWD vertices another one in each of ROUNDS; then all
     pairs of unlike labels that are left meet. Sets of SMALL shingles at most are compared inside that last join, as a crowd
     of texts a little less alike would make pairs with the square of its size."""
-    several = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = cut(keyed.join(several, "key"), "shared").join(vertices.select("v", "n", "sketch"), "v")
+    members = keyed.join(vertices.select("v", "n", "sketch"), "v")
     unlike = F.col("label") != F.col("label2")
     for i in range(ROUNDS + 1):
         members = cut(links.label(members), "members")
@@ -212,7 +217,7 @@ def link(links: Links, keyed: DataFrame, vertices: DataFrame) -> None:
     # of two vertices with unlike labels one at least isn't of its key's largest component
     by_label = members.groupBy("key", "label").count()
     largest = by_label.groupBy("key").agg(F.max(F.struct("count", "label")).alias("s")).select("key", F.col("s.label").alias("main"))
-    members = members.join(small_sets(links.sets_of(members.select("v").distinct())), "v", "left")
+    members = members.join(small_sets(links.sets.join(members.select("v").distinct(), "v", "left_semi")), "v", "left")
     others = members.join(largest, "key").where("label <> main").drop("main")
     links.check(paired(others, renamed(members), unlike, ~small_and_far()))
 
@@ -232,7 +237,8 @@ def groups(rows: DataFrame, row_col: str, text_col: str, fingerprint: Callable,
     made = cut(sketches(rows, row_col, text_col, fingerprint), "sketches")
     first = made.groupBy("v").agg(F.min("row").alias("row"))
     vertices = cut(made.join(first.select("row"), "row", "left_semi"), "vertices")
-    links = Links(lambda some: sets_of(some, vertices, rows, row_col, text_col))
-    link(links, cut(near_keys(vertices, near), "near-keys"), vertices)
-    link(links, vertices.select(F.explode("keys").alias("key"), "v"), vertices)
+    keyed = [shared(near_keys(vertices, near)), shared(vertices.select(F.explode("keys").alias("key"), "v"))]
+    links = Links(sets_of(keyed[0].select("v").union(keyed[1].select("v")).distinct(), vertices, rows, row_col, text_col))  # texts are shuffled this once
+    for some in keyed:
+        link(links, some, vertices)
     return links.label(made.select("row", "v")).select("row", F.col("label").alias("root"))
