@@ -17,9 +17,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the folder that spark.checkpoint.dir names; only where that is unset (as in tests), in a temporary one."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"strataq-{sc.applicationId}"))
-    return df.checkpoint()
+    """df, written once as Parquet in the shared folder and read again: lineage ends there, reads take the columns they need, and
+    Spark knows its size, so what is small can be broadcast."""
+    path = shared_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -78,6 +78,24 @@ def test_decimation_by_groups(spark):
     assert set(r["n"] for r in M.edges(g).collect()) <= {1, 2}
 
 
+def sheets(spark, n, side=8):
+    """n plane sheets of side x side squares, one above another: a mesh far longer than it is wide."""
+    v, f = plane(spark, side)
+    k, own = spark.range(n).withColumnRenamed("id", "k"), (side + 1) ** 2
+    v = v.crossJoin(k).select((F.col("vid") + F.col("k") * own).alias("vid"), "px", "py", F.col("k").cast("float").alias("pz"))
+    return v, f.crossJoin(k).select((F.col("fid") + F.col("k") * 2 * side * side).alias("fid"), *((F.col(c) + F.col("k") * own).alias(c) for c in "abc"))
+
+
+def test_groups_of_a_long_mesh_hold_whole_pieces_of_it(spark):
+    """Groups cut by shares of each side would hold single squares here, every vertex of which is on a border."""
+    v, f = sheets(spark, 400)
+    w, g, report = D.decimate(v, f, D.Options(0.6, grouped_from=1000, group_faces=1024))
+    assert report["reached"] and report["final"] > 0.58 * report["original"] and M.validate(w, g).isEmpty()
+    assert sorted(r["fid"] for r in g.select("fid").collect()) == list(range(report["final"]))
+    again = D.decimate(v.repartition(3, "px"), f.repartition(5, "b"), D.Options(0.6, grouped_from=1000, group_faces=1024))[1]
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, g.collect()))
+
+
 def test_decimation_stops_at_the_error_limit_and_early(spark):
     v, f = plane(spark, 4)
     bumpy = v.withColumn("pz", (F.col("vid") % 3).cast("float"))
