@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,21 +92,116 @@ def relax_pass(vertices: DataFrame, adjacent: DataFrame, fixed: DataFrame, means
     return v.select(*(c if c not in P else F.coalesce((F.col(c).cast("double") + d[c] * scale).cast("float"), F.col(c)).alias(c) for c in vertices.columns))
 
 
+#: Vertices of a block that one task relaxes at a time.
+BLOCK = 1 << 15
+
+
 def relax(vertices: DataFrame, faces: DataFrame, iterations: int = 3, shrink: float = 0.5, swell: float = -0.53, step: float = 0.25, lock_boundaries: bool = True) -> DataFrame:
-    """Taubin smoothing: pairs of a shrinking and a swelling pass. Lineage is cut after each pair with checkpoint()."""
+    """Taubin smoothing: pairs of a shrinking and a swelling pass, each as relax_pass() says.
+
+    Blocks are ranges of about BLOCK vertex ids. A block's neighbour lists are worked out once from all faces that touch it; a pass
+    brings it its own vertices' places and those of neighbours in other blocks, which are few where near vertices have near
+    ids. Lineage is cut after each pass."""
     if iterations < 0 or not 0 <= shrink <= 1 or not -1 <= swell <= 0 or not 0 <= step < float("inf"):
         raise ValueError("options out of range")
+    faces = checkpointed(faces.select("a", "b", "c"))
     if not faces.where(degenerate()).isEmpty():
         raise ValueError("a face repeats a vertex")
-    if not faces.select(F.explode(F.array("a", "b", "c")).alias("vid")).join(vertices, "vid", "left_anti").isEmpty():
+    names, kinds = vertices.columns, {p: vertices.schema[p].dataType for p in P}
+    places = checkpointed(vertices.select("vid", *P))
+    n = places.count()
+    parts = max(1, n // BLOCK)
+    cuts = places.approxQuantile("vid", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
+    first = np.unique(np.array(cuts, np.int64))  # the first ids of all blocks but one
+    stars = checkpointed(dealt(faces, first).groupBy("block").applyInArrow(neighbours(first, lock_boundaries), "block int, vid long, free boolean, near array<long>, far array<long>"))
+    if not stars.join(places, "vid", "left_anti").isEmpty():
         raise ValueError("a face names a vertex that isn't there")
-    count = edges(faces).cache()
-    adjacent, fixed, means = adjacency(count), locked(count, lock_boundaries), mean_edge_lengths(count, vertices).cache()
-    for _ in range(iterations):
-        for factor in (shrink, swell):
-            vertices = relax_pass(vertices, adjacent, fixed, means, factor, step)
-        vertices = checkpointed(vertices)
-    return vertices
+    halo = checkpointed(stars.select("block", F.explode("far").alias("vid")).distinct())
+    free = stars.where("free").select("block", "vid", "near")
+    schema = "block int, vid long, " + ", ".join(f"{p} {kinds[p].simpleString()}" for p in P) + ", mean double"
+    at = located(places, first, schema)
+    for i in range(2 * iterations):
+        others = at.drop("block").join(halo, "vid").select("block", "vid", *P, "mean", F.lit(False).alias("own"))
+        here = at.select("block", "vid", *P, "mean", F.lit(True).alias("own")).unionByName(others)
+        at = checkpointed(free.groupBy("block").cogroup(here.groupBy("block")).applyInArrow(moved(swell if i % 2 else shrink, step, i == 0), schema))
+    if set(names) == {"vid", *P}:
+        return at.select(*names)
+    return vertices.drop(*P).join(at.select("vid", *P), "vid").select(*names)
+
+
+def dealt(faces: DataFrame, first: np.ndarray) -> DataFrame:
+    """block, a, b, c: each face for every block that one of its vertices lies in."""
+
+    def run(batches):
+        for batch in batches:
+            t = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
+            block = np.searchsorted(first, t, "right").astype(np.int32)
+            for k, own in enumerate((np.ones(len(t), bool), block[:, 1] != block[:, 0], (block[:, 2] != block[:, 0]) & (block[:, 2] != block[:, 1]))):
+                if own.any():
+                    yield pa.record_batch([pa.array(block[own, k]), *(pa.array(t[own, i]) for i in range(3))], ["block", "a", "b", "c"])
+
+    return faces.select("a", "b", "c").mapInArrow(run, "block int, a long, b long, c long")
+
+
+def located(places: DataFrame, first: np.ndarray, schema: str) -> DataFrame:
+    """places with their block, and a mean edge length that isn't known yet."""
+
+    def run(batches):
+        for batch in batches:
+            block = np.searchsorted(first, batch.column(0).to_numpy(zero_copy_only=False), "right").astype(np.int32)
+            yield pa.record_batch([pa.array(block), *batch.columns, pa.array(np.full(len(block), np.nan))], ["block", "vid", *P, "mean"])
+
+    return places.mapInArrow(run, schema)
+
+
+def neighbours(first: np.ndarray, lock_boundaries: bool):
+    """Of all faces that touch a block: its vertices, whether they are free, their neighbours and those of them in other blocks."""
+
+    def run(faces: pa.Table) -> pa.Table:
+        block = faces.column("block")[0].as_py()
+        ids, tri = np.unique(np.concatenate([faces.column(c).to_numpy() for c in "abc"]), return_inverse=True)
+        tri = tri.reshape(3, -1)
+        ways = np.concatenate([tri[i] * len(ids) + tri[j] for i in range(3) for j in range(3) if i != j])
+        ways, count = np.unique(ways, return_counts=True)
+        src, dst = ways // len(ids), ways % len(ids)
+        free = np.ones(len(ids), bool)
+        free[src[(count > 2) | ((count == 1) & lock_boundaries)]] = False
+        home = np.searchsorted(first, ids, "right") == block
+        own = np.flatnonzero(home)
+
+        def lists(some: np.ndarray) -> pa.Array:
+            size = np.bincount(src[some], minlength=len(ids))[own]
+            return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(ids[dst[some]]))
+
+        useful = home[src] & free[src]
+        return pa.table({"block": pa.array(np.full(len(own), block, np.int32)), "vid": ids[own], "free": free[own], "near": lists(useful), "far": lists(useful & ~home[dst])})
+
+    return run
+
+
+def moved(factor: float, step: float, opening: bool):
+    """One pass over a block: places of its vertices after it. The opening pass works out the mean edge lengths."""
+
+    def run(stars: pa.Table, here: pa.Table) -> pa.Table:
+        order = np.argsort(here.column("vid").to_numpy(), kind="stable")
+        vid, own = here.column("vid").to_numpy()[order], here.column("own").to_numpy()[order]
+        p = np.stack([here.column(x).to_numpy()[order].astype(np.float64) for x in P], axis=1)
+        mean = here.column("mean").to_numpy()[order].copy()
+        if stars.num_rows:
+            lists = pa.concat_arrays(stars.column("near").chunks)
+            size = lists.value_lengths().to_numpy()
+            near, me = np.searchsorted(vid, lists.flatten().to_numpy()), np.searchsorted(vid, stars.column("vid").to_numpy())
+            begin = np.r_[0, np.cumsum(size)[:-1]]
+            if opening:
+                mean[me] = np.add.reduceat(np.sqrt(((p[near] - p[np.repeat(me, size)]) ** 2).sum(1)), begin) / size
+            d = (np.add.reduceat(p[near], begin, axis=0) / size[:, None] - p[me]) * factor
+            length, most = np.sqrt((d**2).sum(1)), mean[me] * step
+            scale = np.where(length > most, most / np.where(length > 0, length, 1.0), 1.0)
+            p[me] = (p[me] + d * scale[:, None]).astype(np.float32)
+        kept = {"block": here.column("block").to_numpy()[order][own], "vid": vid[own], **{x: p[own, i] for i, x in enumerate(P)}, "mean": mean[own]}
+        return pa.table({n: pa.array(v).cast(here.schema.field(n).type) for n, v in kept.items()})
+
+    return run
 
 
 def compact_vertices(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:

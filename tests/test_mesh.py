@@ -37,6 +37,25 @@ def test_relax_moves_only_free_vertices(spark):
         M.relax(v, f, shrink=2.0)
 
 
+@pytest.mark.parametrize("block", [16, 1 << 15])
+def test_relaxation_by_blocks_is_the_passes(spark, monkeypatch, block):
+    """Borders of blocks don't show, and other columns stay."""
+    monkeypatch.setattr(M, "BLOCK", block)
+    v, f = plane(spark, 12)
+    v = v.select("vid", "px", "py", ((F.col("vid") * 7 % 5) / 8).cast("float").alias("pz"), (F.col("vid") % 3).alias("tag"))
+    e = M.edges(f)
+    want = v
+    for _ in range(2):
+        for factor in (0.5, -0.53):
+            want = M.relax_pass(want, M.adjacency(e), M.locked(e), M.mean_edge_lengths(e, v), factor, 0.25)
+    got = M.relax(v, f, 2)
+    assert got.columns == v.columns
+    a, b = ({r["vid"]: r for r in d.collect()} for d in (want, got))
+    assert a.keys() == b.keys() and all(a[i]["tag"] == b[i]["tag"] and abs(a[i][p] - b[i][p]) < 1e-5 for i in a for p in M.P)
+    with pytest.raises(ValueError, match="vertex"):
+        M.relax(v.where("vid <> 7"), f)
+
+
 def test_compaction_numbers_by_first_appearance(spark):
     v = spark.createDataFrame([(i, float(i), 0.0, 0.0) for i in range(6)], V)
     f = spark.createDataFrame([(0, 4, 2, 5), (1, 2, 4, 0)], FA)
