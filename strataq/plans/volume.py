@@ -50,7 +50,7 @@ class Volume:
         return _union([c.select("level", *C.XYZ, F.col(name).alias("v")) for c in self.cells.values()])
 
     def cubes(self, component: int) -> DataFrame:
-        return self._once("cubes", component, lambda: C.cubes(self.whole(component)))
+        return self._once("cubes", component, lambda: C.cubes_by_chunk(self.whole(component), ["v"]))
 
     def ranges(self, component: int) -> DataFrame:
         """Value ranges of the chunks that hold the anchor of a complete cube."""

@@ -74,6 +74,7 @@ class AmrReader(DataSourceReader):
         if partition is None:  # all was pruned
             return
         data = np.memmap(partition.file, np.uint8, "r")
+        held, rows = [], 0
         for patch_id, box, offset in partition.patches:
             for component in partition.components:
                 values, grown = block(data, offset, box, partition.ghost, partition.count, component)
@@ -84,10 +85,26 @@ class AmrReader(DataSourceReader):
                 v = cube[lo[2] : lo[2] + size[2], lo[1] : lo[1] + size[1], lo[0] : lo[0] + size[0]].ravel()
                 at = [a - d for a, d in zip(box.lo, partition.origin, strict=True)]
                 for begin in range(0, len(v), BATCH):
-                    i = np.arange(begin, min(len(v), begin + BATCH))
-                    full = lambda n, k=len(i): pa.array(np.full(k, n, np.int32))
-                    xyz = (i % size[0] + at[0], i // size[0] % size[1] + at[1], i // (size[0] * size[1]) + at[2])
-                    yield pa.record_batch([full(partition.level), full(component), full(patch_id), *(pa.array(c.astype(np.int32)) for c in xyz), pa.array(v[i])], names=["level", "component", "patch_id", "x", "y", "z", "v"])
+                    part = v[begin : begin + BATCH]
+                    held.append((component, patch_id, at, size, begin, part))
+                    rows += len(part)
+                    if rows >= BATCH:
+                        yield batch(partition.level, held)
+                        held, rows = [], 0
+        if held:
+            yield batch(partition.level, held)
+
+
+def batch(level: int, held: list) -> pa.RecordBatch:
+    """Rows of pieces of patches (component, patch_id, low corner, size, number of the first cell, values): small patches share one."""
+    n = np.array([len(h[5]) for h in held])
+    each = lambda values: np.repeat(np.array(values, np.int32), n)
+    i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.array([h[4] for h in held], np.int64), n)
+    nx, ny = each([h[3][0] for h in held]), each([h[3][1] for h in held])
+    place = (i % nx, i // nx % ny, i // nx // ny)
+    xyz = [(c + each([h[2][k] for h in held])).astype(np.int32) for k, c in enumerate(place)]
+    columns = [np.full(n.sum(), level, np.int32), each([h[0] for h in held]), each([h[1] for h in held]), *xyz, np.concatenate([h[5] for h in held])]
+    return pa.record_batch(list(map(pa.array, columns)), names=["level", "component", "patch_id", "x", "y", "z", "v"])
 
 
 class PushingReader(AmrReader):

@@ -112,3 +112,11 @@ def test_box_algebra(spark):
 def test_boxes_that_hold_a_voxel(spark):
     boxes = spark.createDataFrame([(1, 0, 0, 0, 40, 1, 1), (2, 0, 0, 0, 3, 1, 1), (3, 33, 0, 0, 36, 2, 2)], "box_id int, lx int, ly int, lz int, hx int, hy int, hz int")
     assert sorted(r["box_id"] for r in C.any_in_boxes(boxes, grid(spark, [(35, 0, 0)])).collect()) == [1, 3]
+
+
+def test_cubes_by_chunk_are_the_cubes(spark):
+    """Over chunks' borders, holes and negative places."""
+    cells = spark.range(40 * 5 * 5).selectExpr("1 level", "cast(id % 40 - 3 as int) x", "cast(id div 40 % 5 + 30 as int) y", "cast(id div 200 - 2 as int) z", "id * 0.5D v").where("(x + 2 * y + 3 * z) % 17 <> 0")
+    want, got = ({tuple(r) for r in d.select("level", "ax", "ay", "az", *(f"v{k}" for k in range(8))).collect()} for d in (C.cubes(cells), C.cubes_by_chunk(cells, ["v"])))
+    assert want == got and want
+    assert {tuple(r) for r in C.cubes_by_chunk(cells, [], False).collect()} == {r[:4] for r in want}

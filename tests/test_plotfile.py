@@ -104,3 +104,13 @@ def test_series_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("series").agg(F.sum("n")).first()[0] == 2
+
+
+def test_small_patches_share_a_batch():
+    import numpy as np
+
+    from strataq.sources import source
+
+    got = source.batch(1, [(0, 7, [4, 0, 2], (2, 2, 2), 0, np.arange(8.0)), (1, 8, [0, 0, 0], (3, 1, 2), 2, np.arange(2.0, 6.0))])
+    assert got.num_rows == 12 and got.column("patch_id").to_pylist() == [7] * 8 + [8] * 4
+    assert [r[:3] for r in zip(*(got.column(c).to_pylist() for c in "xyz"), strict=True)][7:10] == [(5, 1, 3), (2, 0, 0), (0, 0, 1)]
