@@ -54,7 +54,15 @@ class Volume:
 
     def ranges(self, component: int) -> DataFrame:
         """Value ranges of the chunks that hold the anchor of a complete cube."""
-        return self._once("ranges", component, lambda: C.chunk_ranges(self.whole(component), self.cubes(component)))
+        return self._once("ranges", component, lambda: C.chunk_ranges(self.whole(component)).join(self.held(), ["level", "cx", "cy", "cz"], "left_semi"))
+
+    def held(self) -> DataFrame:
+        """level, cx, cy, cz of chunks with the anchor of a complete cube: the same for every component, as cells have all of them."""
+        first = self.components[0]
+        for c in self.components:
+            if ("cubes", c) in self.derived:
+                return self._once("held", first, lambda c=c: self.cubes(c).select("level", *G.chunk_key("ax", "ay", "az")).distinct())
+        return self._once("held", first, lambda: C.cubes_by_chunk(self.whole(first), [], False).select("level", *G.chunk_key("ax", "ay", "az")).distinct())
 
     def _once(self, what: str, component: int, make) -> DataFrame:
         if (what, component) not in self.derived:
